@@ -41,32 +41,31 @@ LOOK = {
 
 _CLASS = "".join(re.escape(c) for c in LEET)
 #: A run of letters with at most signs and digits among them; a sign or digit counts as a letter only next to one.
-_LEETED = re.compile(rf"(?:(?<=[^\W\d_])[{_CLASS}]+(?=[^\W\d_]))|(?:\b[{_CLASS}](?=[^\W\d_]{{2}}))")
+_LEETED = re.compile(rf"(?:(?<=[^\W\d_])[{_CLASS}]+(?=[^\W\d_]))|(?:(?<!\w)[0-9@$](?=[^\W\d_]{{2}}))")
 _ASCII_FOLD = str.maketrans(LEET)
-_ZERO_WIDTH = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad"))
-_LOOK = str.maketrans(LOOK)
+_INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
+_LOOK_ALIKE = re.compile(f"[{''.join(LOOK)}]")
 _MARKS = re.compile("[\u0300-\u036f\u0483-\u0489]+")
 _ANY_LEET = re.compile(f"[{_CLASS}]")
-#: All that isn't a letter, digit or space, with one space after it.
-_BREAKS = re.compile(r"(?:[^\w ]|_)+ ?")
+_BREAKS = re.compile(r"(?:[^\w ]|_)+")
+_ASCII_BREAKS = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
 def fold(text: str) -> str:
     """Lower case, NFKD without marks, look-alikes and digit substitutions undone, words separated by one space, and one
     space at either end."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_ZERO_WIDTH))
-        text = _MARKS.sub("", text).lower()
+        if _INVISIBLE.search(text):
+            text = _INVISIBLE.sub("", text)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
         if not text.isascii():
-            text = text.translate(_LOOK)
+            text = _LOOK_ALIKE.sub(lambda m: LOOK[m[0]], text)
     else:
         text = text.lower()
     if _ANY_LEET.search(text):
         text = _LEETED.sub(lambda m: m[0].translate(_ASCII_FOLD), text)
-    text = _BREAKS.sub(" ", text)
-    while "  " in text:
-        text = text.replace("  ", " ")
-    return f" {text.strip()} "
+    text = text.translate(_ASCII_BREAKS) if text.isascii() else _BREAKS.sub(" ", text)
+    return f" {' '.join(text.split())} "
 
 
 @dataclass
@@ -136,7 +135,7 @@ def fit(rows: list[tuple[str, int]]) -> Lexicon:
     for words, y in folded:
         if y:
             pos.update(beginnings(words))
-    floor = 3 if n1 >= 30 else 1
+    floor = 1 if n1 < 30 else 3 + n1 // 300
     wanted = {s for s, n in pos.items() if n >= floor}
     neg: Counter = Counter()
     for words, y in folded:
@@ -177,8 +176,8 @@ def fit(rows: list[tuple[str, int]]) -> Lexicon:
     for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         r, v = p - y, p * (1 - p) + 1e-6
-        g = np.array([(r * x).sum() + 2.0 * (a - 1.0), r.sum() + 0.2 * (b + 3.0)])
-        h = np.array([[(v * x * x).sum() + 2.0, (v * x).sum()], [(v * x).sum(), v.sum() + 0.2]])
+        g = np.array([(r * x).sum() + 0.02 * (a - 1.0), r.sum() + 0.02 * (b + 3.0)])
+        h = np.array([[(v * x * x).sum() + 0.02, (v * x).sum()], [(v * x).sum(), v.sum() + 0.02]])
         step = np.clip(np.linalg.solve(h, g), -0.25, 0.25)  # short steps: separable classes make Newton overshoot
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-6:
