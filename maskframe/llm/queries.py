@@ -21,6 +21,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm import chat
+
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm import quality
 
@@ -34,13 +40,23 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm import warc
+
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_chat_formatting": op3_chat_formatting,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from maskframe.llm import chat, warc
+
+    return {"op3_chat_formatting": chat.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
