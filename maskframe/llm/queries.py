@@ -27,6 +27,12 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm import simhash
+
+    return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm import quality
 
@@ -50,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_chat_formatting": op3_chat_formatting,
+        "op5_document_fingerprints": op5_document_fingerprints,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op10_warc": op10_warc,
