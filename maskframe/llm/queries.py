@@ -27,6 +27,12 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm import simhash
 
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_chat_formatting": op3_chat_formatting,
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_document_fingerprints": op5_document_fingerprints,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
