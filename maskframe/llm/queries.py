@@ -39,6 +39,12 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm import suffix_dedup
+
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm import quality
 
@@ -64,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_formatting": op3_chat_formatting,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_document_fingerprints": op5_document_fingerprints,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op10_warc": op10_warc,
