@@ -58,6 +58,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm import pieces
+
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm import warc
 
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
+        "op9_sentencepiece_sampling": op9_sentencepiece_sampling,
         "op10_warc": op10_warc,
     }
 
