@@ -21,6 +21,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm import html_extract
+
+    return html_extract.main_text(table(spark, sf_dir, "pages"), html_extract.train())
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm import chat
 
@@ -73,6 +79,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_html_extraction": op2_html_extraction,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_document_fingerprints": op5_document_fingerprints,
