@@ -248,3 +248,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     small = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").select("comp", "component_id")
     out = rows.join(small, "comp", "left").withColumn("component_id", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without all but one of each group of linked documents, all columns unchanged. The one that stays has the smallest id
+    (nulls last), of equal ids the first in place. docs must give the same rows in the same order when read again, as files do."""
+    rows = materialize(link(docs, k, percent, id_col, text_col), "linked")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
+    first = rows.groupBy("comp").agg(F.min(rank).alias("f"), F.count("*").alias("size")).where("size > 1").select("comp", F.col("f.uid").alias("stays"))
+    gone = rows.join(first, "comp").where("uid <> stays").select(F.col("uid").alias("__gone"))
+    placed = docs.withColumn("__uid", F.monotonically_increasing_id())
+    return placed.join(gone, placed["__uid"] == gone["__gone"], "left_anti").select(*(placed[f"`{c}`"] for c in docs.columns))

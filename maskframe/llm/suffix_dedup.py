@@ -381,3 +381,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
     )
+
+
+def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
+    """docs with repeated spans cut out of their texts, narrowed to whole code points, and chars_col (if there) counted anew. A null text stays
+    null. docs must give the same rows in the same order when read again, as files do."""
+    placed = docs.withColumn("__uid", F.monotonically_increasing_id())
+    rows = placed.select(F.col("__uid").alias("uid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    meta, spans = repeated_spans(rows, length, k, hot)
+    whole = meta.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(F.col("uid").alias("__at"), F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_bytes").alias("high"))).alias("__spans"))
+    lists = spans.groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("__spans")).join(meta.where("copies = 1").select("uid"), "uid", "left_semi").select(F.col("uid").alias("__at"), "__spans")
+    joined = placed.join(lists.unionByName(whole), F.col("__uid") == F.col("__at"), "left").select(*(placed[f"`{c}`"] for c in docs.columns), "__spans")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            names = b.schema.names
+            texts = b.column(text_col).to_pylist()
+            for i, some in enumerate(b.column("__spans").to_pylist()):
+                if some and texts[i] is not None:
+                    data = text_bytes(texts[i])
+                    low, high = merge(np.array([x["low"] for x in some], np.int64), np.array([x["high"] for x in some], np.int64))
+                    texts[i] = kept_bytes(data, *whole_points(data, low, high)).decode("utf-8", "replace")
+            columns = [b.column(c) for c in names[:-1]]
+            at = names.index(text_col)
+            columns[at] = pa.array(texts, columns[at].type)
+            if chars_col in names[:-1]:
+                c = names.index(chars_col)
+                columns[c] = pa.array([n if t is None else len(t) for t, n in zip(texts, columns[c].to_pylist(), strict=True)], columns[c].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names[:-1])
+
+    return joined.mapInArrow(cut, docs.schema)

@@ -235,9 +235,11 @@ def keep(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame
     """The rows of docs that score under 0.5, all columns unchanged."""
     key = _key(lexicon)
 
-    def run(frames):
+    def run(batches):
+        import pyarrow as pa
+
         scorer = _scorer(key, lexicon)
-        for f in frames:
-            yield f[np.fromiter((scorer.score(t) < 0.5 for t in f[text_col]), bool, len(f))]
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(t) < 0.5 for t in b.column(text_col).to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
