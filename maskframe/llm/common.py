@@ -42,6 +42,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df if it is a plain scan of files, which gives the same rows in the same places whichever columns are read; else a copy in the
+    shared folder. Operators that read their input more than once tell rows apart by place, so they need this."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    plain = all(re.match(r"[\s:+\-]*(Project|Filter|SubqueryAlias|View|Relation|LocalRelation)\b", line) for line in plan.splitlines())
+    return df if plain else materialize(df, "input")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Dataset.checkpoint() in the shared folder, for small frames."""
     shared_dir(df.sparkSession)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import materialize, mix64, text_bytes
+from maskframe.llm.common import materialize, mix64, steady, text_bytes
 
 LENGTH = 200
 K = 48
@@ -360,7 +360,7 @@ def whole_points(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("uid", F.monotonically_increasing_id())
+    rows = steady(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("uid", F.monotonically_increasing_id())
     meta, spans = repeated_spans(rows.select("uid", "text"), length, k, hot)
     # Of texts that occur once, only those with a span are needed again.
     lists = spans.groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("spans")).join(meta.where("copies = 1").select("uid"), "uid", "left_semi")
@@ -385,7 +385,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """docs with repeated spans cut out of their texts, narrowed to whole code points, and chars_col (if there) counted anew. A null text stays
-    null. docs must give the same rows in the same order when read again, as files do."""
+    null."""
+    docs = steady(docs)
     placed = docs.withColumn("__uid", F.monotonically_increasing_id())
     rows = placed.select(F.col("__uid").alias("uid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     meta, spans = repeated_spans(rows, length, k, hot)
