@@ -19,6 +19,8 @@ CACHE_PARTS = 500_000
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _LONG_PART = 4096
+#: A space or none, letters (checked further), ASCII signs other than an apostrophe.
+_SIMPLE = re.compile(r"( ?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def parts_of(text: str) -> list[str]:
@@ -46,16 +48,34 @@ class CachedBPE:
         self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
 
+    def _word(self, word: str) -> bytes:
+        """The ids of one pre-token: letters with at most one space before them, or signs without letters, digits and spaces."""
+        got = self.cache.get(word)
+        if got is None:
+            seen = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+            got = self.cache[word] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+        return got
+
     def _ids(self, parts: list[str]) -> list[bytes]:
-        """A part that is one pre-token goes straight to the model; all others through the whole tokeniser."""
+        """Parts made of letters, a run of signs after them, and single line ends are pre-tokens at sight and go straight to the model;
+        all others go through the whole tokeniser."""
         out: dict[str, bytes] = {}
         general = []
         for p in parts:
-            if (p[1:] if p[0] == " " else p).isalpha() and len(p) < _LONG_PART:
-                word = p.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-                out[p] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            found = []
+            for i, line in enumerate(p.split("\n")):
+                m = _SIMPLE.fullmatch(line)
+                if m is None or not m[2].isalpha() or len(line) > _LONG_PART or (i and m[1]):
+                    break
+                if i:
+                    found.append(self._word("\n"))
+                found.append(self._word(m[1] + m[2]))
+                if m[3]:
+                    found.append(self._word(m[3]))
             else:
-                general.append(p)
+                out[p] = b"".join(found)
+                continue
+            general.append(p)
         for some in batches(general, len, 200_000):
             for p, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
                 out[p] = np.array(e.ids, "<u4").tobytes()
