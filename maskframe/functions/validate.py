@@ -62,3 +62,26 @@ def extract_json(text: str) -> dict:
                 return got
     pairs = re.findall(r'"([^"]+)"\s*:\s*"([^"]*)"', text)
     return dict(pairs) if len(pairs) >= 2 else {}
+
+
+def mask_like(value: Column) -> Column:
+    """E-mails, dates, and values with a digit and one of - / . blank."""
+    return value.rlike(EMAIL) | value.rlike(DATE_LIKE) | (value.rlike("[0-9]") & value.rlike("[-/. ]"))
+
+
+def code_like(value: Column) -> Column:
+    """No run of more than three letters."""
+    return ~value.rlike(r"\p{L}{4}")
+
+
+# Words that don't carry the case of a title.
+PARTICLES = "a an the of and or upon in on at to for de la le du del von van di da и в с на о у к от из для по но или".split()
+
+
+def case_violation(original: Column, replacement: Column) -> Column:
+    """Whether words at the same place begin with different case; with another number of words, or next to particles, never."""
+    words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    bare = lambda w: F.lower(F.regexp_replace(w, r"^[.,()!?:;\-«»\"']+|[.,()!?:;\-«»\"']+$", ""))
+    upper = lambda w: F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))
+    differ = F.zip_with(words(original), words(replacement), lambda a, b: ~bare(a).isin(PARTICLES) & ~bare(b).isin(PARTICLES) & (upper(a) != upper(b)))
+    return (F.size(words(original)) == F.size(words(replacement))) & F.exists(differ, lambda x: F.coalesce(x, F.lit(False)))

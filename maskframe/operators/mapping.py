@@ -92,3 +92,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def random_member(df: DataFrame, column: str, buckets: int = 16) -> DataFrame:
     """column's values with another member of the value set each, chosen by a hash: value, replacement."""
     return cycle(distinct_values(df, column).select("value", F.xxhash64("value").alias("h")), None, "h", buckets).select(F.col("original").alias("value"), "replacement")
+
+
+def total_entries(mapping: DataFrame) -> DataFrame:
+    return mapping.groupBy("scope").agg(F.count("*").alias("entries"))
+
+
+def exists_anywhere(values: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The rows of values (column value) that some scope of the mapping replaces."""
+    return values.join(mapping.select(F.col("original").alias("value")).distinct(), "value", "left_semi")

@@ -273,6 +273,27 @@ def _q64(spark, sf_dir):
     return _pairs(spark).groupBy(F.coalesce(validate.format_violation(F.col("original"), F.col("replacement")), F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+_HELPERS = [("a@b.de", "c@d.de"), ("AC-1", "BD-2"), ("Tom Hall", "tim Dunn"), ("Lord of Rings", "Song Of Rain"), ("abcd", "xyzw"), ("2024-01-05", "2023-01-05"), ("A B", "A")]
+_HELPER_ROWS = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_HELPERS))
+
+
+@query("q49_helper_predicates", f"""SELECT i, (regexp_matches(a, '{validate.EMAIL}') OR regexp_matches(a, '{validate.DATE_LIKE}') OR (regexp_matches(a, '[0-9]') AND regexp_matches(a, '[-/. ]'))) AS mask_like,
+NOT regexp_matches(a, '[A-Za-z]{{4}}') AS code_like, i = 2 AS case_violated, regexp_replace(a, '[A-Za-z0-9]', '', 'g') AS skeleton FROM (VALUES {_HELPER_ROWS}) t(i, a, b)""")
+def _q49(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(_HELPERS)], "i int, a string, b string")
+    return df.select("i", validate.mask_like(a).alias("mask_like"), validate.code_like(a).alias("code_like"), validate.case_violation(a, b).alias("case_violated"), validate.skeleton(a).alias("skeleton"))
+
+
+@query("q57_mapping_entries_and_members", """
+WITH m AS (SELECT DISTINCT c_mktsegment AS v FROM customer) SELECT 'c_mktsegment' AS scope, (SELECT count(*) FROM m) AS entries, (SELECT count(*) FROM customer WHERE c_mktsegment IN (SELECT v FROM m)) AS members""")
+def _q57(spark, sf_dir):
+    df = read(spark, sf_dir, "customer")
+    mapping = M.rotation(df, "c_mktsegment", "c_custkey")
+    members = M.exists_anywhere(df.select(F.col("c_mktsegment").alias("value")), mapping).agg(F.count("*").alias("members"))
+    return M.total_entries(mapping).join(members, F.lit(True))
+
+
 def _masked_customer(spark, sf_dir):
     df = read(spark, sf_dir, "customer").withColumn("phone", F.expr(PHONE)).withColumn("email", F.expr(EMAIL)).withColumn("zip", F.expr(ZIP))
     types = {("customer", c): k for c, k in (("c_name", "name"), ("phone", "phone"), ("email", "email"), ("zip", "postal_code"), ("c_mktsegment", "genre"))}

@@ -125,3 +125,19 @@ def test_engine_and_stream(spark, tmp_path):
     grow(df.where("id < 2"), 0)
     grow(df, 1)
     assert set(pairs(streaming.versions(spark, str(tmp_path / "grown")))) == {"a", "b", "c"}
+
+
+def test_files(spark, tmp_path):
+    import json
+
+    from maskframe.sources import files
+
+    (tmp_path / "a.sql").write_text("x" * 2048)
+    (tmp_path / "b.txt").write_text("x")
+    (tmp_path / "t_c_samples.json").write_text(json.dumps([{"value": "x"}, {"value": "y"}, {"value": "z"}]))
+    (tmp_path / "profiles.json").write_text(json.dumps({"t_c": {"unique_count": 3}}))
+    assert [(r["path"].rpartition("/")[2], r["length"]) for r in files.dumps(spark, str(tmp_path)).collect()] == [("a.sql", 2048)]
+    assert files.size_text(2048) == "2 KB" and files.size_text(3 << 20) == "3.0 MB"
+    assert str(files.output_path("x/a.sql", "out/profiles")) == "out/a_sanitized.sql"
+    assert [r["value"] for r in files.samples(spark, str(tmp_path), "t_c", 2).collect()] == ["x", "y"]
+    assert files.stats(spark, str(tmp_path), "t_c") == {"unique_count": 3.0} and files.stats(spark, str(tmp_path), "no") == {}
