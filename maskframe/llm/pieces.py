@@ -64,25 +64,26 @@ class Lattices:
             self.tables[n] = (np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64))
         self.clear()
 
+    #: What sampling reads, by name: last node of each word; for each node whether it opens a word, and its first edge; for each edge the
+    #: summed probability up to it among the edges into its node, its piece, and the node that it comes from.
+    ARRAYS = {"end": np.int64, "is_start": bool, "edge_from": np.int64, "cdf": np.float64, "piece": np.int32, "prev": np.int32}
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.ends: list[np.ndarray] = []
-        self.nodes = 0
-        self.parts: list[tuple] = []
-        self._flat()
-
-    def _flat(self) -> None:
-        """Joins what the last words added to the arrays that sampling reads."""
-        if not self.parts:
-            self.end = np.zeros(0, np.int64)
-            self.is_start = np.zeros(0, bool)
-            self.cdf = np.zeros(0)
-            self.piece = np.zeros(0, np.int32)
-            self.prev = np.zeros(0, np.int32)
-            return
-        if len(self.parts) > 1:
-            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
-        self.end, self.is_start, self.cdf, self.piece, self.prev = self.parts[0]
+        self.nodes = self.edges = 0
+        self.used = dict.fromkeys(self.ARRAYS, 0)
+        for name, kind in self.ARRAYS.items():
+            setattr(self, name, np.zeros(1 << 12, kind))
+
+    def _append(self, new: tuple) -> None:
+        """Adds to the arrays, whose room doubles when it is used up."""
+        for name, part in zip(self.ARRAYS, new, strict=True):
+            have, n = getattr(self, name), self.used[name]
+            if n + len(part) > len(have):
+                have = np.concatenate([have[:n], np.zeros(max(len(part), n), have.dtype)])
+                setattr(self, name, have)
+            have[n : n + len(part)] = part
+            self.used[name] = n + len(part)
 
     def learn(self, words: set[str]) -> None:
         if len(self.index) > CACHE_WORDS:
@@ -91,9 +92,8 @@ class Lattices:
         if not missing:
             return
         n = len(self.index)
-        self.parts.append(self._build(missing))
+        self._append(self._build(missing))
         self.index.update(zip(missing, range(n, n + len(missing)), strict=True))
-        self._flat()
 
     def _build(self, words: list[str]) -> tuple:
         chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -133,7 +133,7 @@ class Lattices:
         begin, length, piece = np.concatenate(begin), np.concatenate(length), np.concatenate(piece)
         weight = np.where(piece >= 0, self.weight[np.maximum(piece, 0)], FALLBACK_WEIGHT) * np.exp(4.0 * length)
         start, end = node[begin], node[begin] + length
-        order = np.lexsort((length, end))
+        order = np.lexsort((-weight, end))  # the likeliest way into a node first
         start, end, piece, weight = start[order], end[order], piece[order], weight[order]
         alpha = np.zeros(len(chars) + len(words))
         alpha[first + np.arange(len(words))] = 1.0
@@ -149,11 +149,13 @@ class Lattices:
         base = np.repeat(np.append(0.0, share[opens[1:] - 1]), runs)
         within = share - base
         within[np.append(opens[1:], len(end)) - 1] = 1.0
-        cdf = within + end + self.nodes
+        edge_from = np.zeros(len(chars) + len(words), np.int64)
+        edge_from[end[opens]] = opens + self.edges
+        self.edges += len(end)
         is_start = np.zeros(len(alpha), bool)
         is_start[first + np.arange(len(words))] = True
         ends = first + np.arange(len(words)) + size + self.nodes
-        out = (ends, is_start, cdf, piece.astype(np.int32), (start + self.nodes).astype(np.int32))
+        out = (ends, is_start, edge_from, within, piece.astype(np.int32), (start + self.nodes).astype(np.int32))
         self.nodes += len(alpha)
         return out
 
@@ -168,7 +170,11 @@ class Lattices:
         while len(who):
             with np.errstate(over="ignore"):
                 u = (mix64(base[who] + np.uint64(step + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.cdf, state + u, side="right")
+            edge = self.edge_from[state]
+            on = np.flatnonzero(u >= self.cdf[edge])
+            while len(on):
+                edge[on] += 1
+                on = on[u[on] >= self.cdf[edge[on]]]
             got.append(self.piece[edge])
             whose.append(who)
             state = self.prev[edge].astype(np.int64)
