@@ -127,6 +127,18 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix64(out + np.uint64(step)))
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make):
+    """What a Python worker keeps between tasks under key. Only one operator's cache is kept: workers live on from stage to stage, and caches
+    of several operators would add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def text_bytes(text) -> bytes:
     """UTF-8 of a text that may be null or hold lone surrogates."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

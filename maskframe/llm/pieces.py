@@ -23,11 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import batches, mix64
+from maskframe.llm.common import batches, held, mix64
 
 LONGEST = 64
 #: Words whose lattices a worker holds; they are dropped when full. 250k lattices are about 100 MB.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 FALLBACK_WEIGHT = 1e-7
 _M = np.uint64(0xD1342543DE82EF95)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -212,13 +212,8 @@ def seed(key) -> int:
     return 0 if key is None or key != key else int(key) & ((1 << 64) - 1)
 
 
-_WORKER: dict[tuple, Lattices] = {}
-
-
 def lattices(model: str, temperature: float) -> Lattices:
-    if (model, temperature) not in _WORKER:
-        _WORKER[model, temperature] = Lattices(model, temperature)
-    return _WORKER[model, temperature]
+    return held(("lattices", model, temperature), lambda: Lattices(model, temperature))
 
 
 def encode(texts: list, keys: list, model: str, temperature: float = 1.0) -> list[np.ndarray]:

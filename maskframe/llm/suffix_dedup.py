@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import materialize, mix64, steady, text_bytes
+from maskframe.llm.common import held, materialize, mix64, steady, text_bytes
 
 LENGTH = 200
 K = 48
@@ -244,6 +244,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     others = meta.where("uid <> rep").select("uid")
 
     def find(frames):
+        held(("suffix",), dict)  # drops what an earlier stage has cached
         for f in frames:
             out = []
             for uid, text in zip(f["uid"].tolist(), f["text"].tolist(), strict=True):

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskframe.llm.common import held
+
 #: Labelled rows that the lexicon is fitted on at most, chosen by a hash of doc_id.
 SAMPLE_ROWS = 12_000
 #: Characters of each text that a labelled sample row contributes to fitting; scoring reads whole texts.
@@ -208,6 +210,7 @@ _SCORERS: dict[int, Scorer] = {}
 
 def _scorer(key: int, lexicon: Lexicon) -> Scorer:
     if key not in _SCORERS:
+        held(("toxicity", key), dict)  # drops what an earlier stage has cached
         _SCORERS.clear()
         _SCORERS[key] = Scorer(lexicon)
     return _SCORERS[key]
