@@ -9,10 +9,10 @@ differ in at most 15 symbols have a chunk with at most one wrong symbol, so they
 other three symbols). At similarity 0.8 a pair differs in over 15 symbols once in 7000 cases, and shares no key once in a
 million.
 
-Pairs in a bucket are never all written out. First each bucket's members are compared with its first member only; confirmed links
+Pairs in a bucket are never written out. First each bucket's members are compared with its first member only; confirmed links
 give components. Buckets that still hold several components then have the pairs across these components compared by the full
 signatures, in blocks of BLOCK members, each pair in its first common bucket only; those whose estimate leaves the
-threshold possible are confirmed on full sets. Pairs within a component need no more links. So components are those of all
+threshold possible are confirmed on full sets where they stand. Pairs within a component need no more links. So components are those of all
 links between pairs that share a key, less pairs whose 128-symbol estimate lies over SLACK below the threshold (4.5 standard deviations).
 
 Defined results: texts without words have an empty set and are linked with nothing; with fewer than k words the whole sequence
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import batches, materialize, mix64, shingle_hashes, text_bytes, word_hashes
+from maskframe.llm.common import batches, held, materialize, mix64, shingle_hashes, steady, text_bytes, word_hashes
 from maskframe.llm.graph import components
 
 SYMBOLS, CHUNK = 32, 4
@@ -81,6 +81,7 @@ def sign(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=3)
+        held(("minhash",), dict)  # drops what an earlier stage has cached
         for f in frames:
             rows = [(None if i is None else int(i), text_bytes(t)) for i, t in zip(f["id"].tolist(), f["text"].tolist(), strict=True)]
             for part in batches(rows, lambda r: len(r[1]), 2_000_000):
@@ -113,20 +114,21 @@ def estimate(main_a, extra_a, main_b, extra_b) -> np.ndarray:
 
 
 class _Sets:
-    """Shingle sets of compressed texts, the latest kept."""
+    """Shingle sets of compressed texts, the latest kept up to limit hashes in all."""
 
-    def __init__(self, k: int, limit: int = 256):
+    def __init__(self, k: int, limit: int = 16 << 20):
         import zstandard
 
-        self.k, self.limit, self.unpacker, self.have = k, limit, zstandard.ZstdDecompressor(), OrderedDict()
+        self.k, self.limit, self.unpacker, self.have, self.size = k, limit, zstandard.ZstdDecompressor(), OrderedDict(), 0
 
     def get(self, uid: int, ztext: bytes) -> np.ndarray:
         if uid in self.have:
             self.have.move_to_end(uid)
         else:
-            self.have[uid] = shingle_hashes(word_hashes(self.unpacker.decompress(ztext))[0], self.k)
-            if len(self.have) > self.limit:
-                self.have.popitem(last=False)
+            new = self.have[uid] = shingle_hashes(word_hashes(self.unpacker.decompress(ztext))[0], self.k)
+            self.size += len(new)
+            while self.size > self.limit and len(self.have) > 2:
+                self.size -= len(self.have.popitem(last=False)[1])
         return self.have[uid]
 
 
@@ -153,11 +155,10 @@ def _estimates(f: pd.DataFrame) -> np.ndarray:
     return estimate(ma, ea, mb, eb)
 
 
-def across(members: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Pairs of members of one bucket (columns uid, comp, sig, half) in different components, in their first common bucket, that may
-    be similar. half: 0 and 1 for the two blocks of a pair of blocks, 2 for one block with itself."""
-    key = int(members["key"].iloc[0])
-    at = key >> 48
+def across(members: pd.DataFrame, percent: int) -> list[tuple[int, np.ndarray]]:
+    """For members of one bucket (columns key, uid, comp, sig, half): (place, later places) of those in different components that may be
+    similar, each pair in its first common bucket only. half: 0 and 1 for the two blocks of a pair of blocks, 2 for one block with itself."""
+    at = int(members["key"].iloc[0]) >> 48
     uid, comp, half = (members[c].to_numpy(np.int64) for c in ("uid", "comp", "half"))
     main, extra = unpack(members["sig"].tolist())
     keys = keys_of(main)
@@ -171,42 +172,67 @@ def across(members: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
             continue
         later = later[~(keys[later, :at] == keys[i, :at]).any(1)]
         later = later[estimate(main[later], extra[later], main[i], extra[i]) >= least]
-        out += [(int(min(uid[i], uid[j])), int(max(uid[i], uid[j]))) for j in later]
+        if len(later):
+            out.append((i, later))
     return out
 
 
-def cross_pairs(buckets: DataFrame, sigs: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (a, b) across components. buckets: key, uid, comp, only keys with several components."""
+def _groups(frames):
+    """The rows of each (key, i, j) in turn, from frames ordered by them."""
+    rest = None
+    for f in frames:
+        f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+        if not len(f):
+            continue
+        last = f.iloc[-1]
+        open_ = ((f["key"] == last["key"]) & (f["i"] == last["i"]) & (f["j"] == last["j"])).to_numpy()
+        rest = f[open_]
+        for _, g in f[~open_].groupby(["key", "i", "j"], sort=False):
+            yield g
+    if rest is not None:
+        yield rest
+
+
+def cross_links(buckets: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Confirmed links (a, b) across components. buckets: key, uid, comp, only keys with several components.
+
+    Pairs never become rows. The first pass finds by signatures which members of a bucket have a partner at all; only these get their
+    texts, and the second pass compares and confirms pairs inside a bucket's blocks. A block's members that have been linked meanwhile
+    aren't compared again."""
     sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = buckets.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     # A member goes to every pair of blocks that holds its own; with one block that is one row.
     rows = rows.select("key", "uid", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", "uid", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("int").alias("half"))
-    rows = rows.join(sigs, "uid")
+    columns = ["key", "i", "j", "uid", "comp", "half"]
 
-    def run(frames):
-        rest = None
-        for f in frames:
-            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            if not len(f):
-                continue
-            last = f.iloc[-1]
-            open_ = (f["key"] == last["key"]) & (f["i"] == last["i"]) & (f["j"] == last["j"])
-            rest = f[open_]
-            yield from done(f[~open_])
-        if rest is not None:
-            yield from done(rest)
-
-    def done(f):
-        out = []
-        for _, g in f.groupby(["key", "i", "j"], sort=False):
+    def dealt(df):
+        return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def partnered(frames):
+        for g in _groups(frames):
             if g["comp"].nunique() > 1:
-                out += across(g, percent)
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+                found = across(g, percent)
+                if found:
+                    places = np.unique(np.concatenate([[i for i, _ in found], *(j for _, j in found)]))
+                    yield g.iloc[places][columns]
+
+    some = materialize(dealt(rows.join(sigs, "uid")).select(*columns, "sig").mapInPandas(partnered, "key long, i int, j int, uid long, comp long, half int"), "partnered")
+
+    def confirmed(frames):
+        for g in _groups(frames):
+            sets = _Sets(k)
+            uid, comp, z = g["uid"].tolist(), g["comp"].to_numpy(np.int64).copy(), g["ztext"].tolist()
+            out = []
+            for i, later in across(g, percent):
+                for j in later.tolist():
+                    if comp[i] != comp[j] and similar(sets.get(uid[i], z[i]), sets.get(uid[j], z[j]), percent):
+                        out.append((uid[i], uid[j]))
+                        comp[comp == comp[j]] = comp[i]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "uid", "comp", "half", "sig").mapInPandas(run, "a long, b long")
+    return dealt(some.join(texts, "uid")).select(*columns, "sig", "ztext").mapInPandas(confirmed, "a long, b long")
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,9 +260,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     placed = shared.select("key", "uid").join(known.select(F.col("node").alias("uid"), F.col("root").alias("comp")), "uid", "left").select("key", "uid", F.coalesce("comp", "uid").alias("comp"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    pairs = cross_pairs(placed.join(mixed, "key"), sigs, percent)
-    # Pairs that were compared as star edges needn't be again; those found linked are in one component by now.
-    more = materialize(confirm(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts, k, percent), "links")
+    more = materialize(cross_links(placed.join(mixed, "key"), sigs, texts, k, percent), "links")
     if not more.isEmpty():
         known = components(found.unionByName(more))
     return members.join(known.select(F.col("node").alias("rep"), "root"), "rep", "left").select("uid", "doc_id", "n", F.coalesce("root", "rep").alias("comp"))
@@ -252,7 +276,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without all but one of each group of linked documents, all columns unchanged. The one that stays has the smallest id
-    (nulls last), of equal ids the first in place. docs must give the same rows in the same order when read again, as files do."""
+    (nulls last), of equal ids the first in place."""
+    docs = steady(docs)
     rows = materialize(link(docs, k, percent, id_col, text_col), "linked")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
     first = rows.groupBy("comp").agg(F.min(rank).alias("f"), F.count("*").alias("size")).where("size > 1").select("comp", F.col("f.uid").alias("stays"))
