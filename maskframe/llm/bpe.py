@@ -8,23 +8,31 @@ the whole text. Parts are cached in the worker.
 from __future__ import annotations
 
 import re
+from itertools import chain, filterfalse
 
 import numpy as np
 
-from maskframe.llm.common import batches
+from maskframe.llm.common import batches, held
 
-#: Parts held in a worker's cache; it is emptied when full. 500k parts are about 120 MB.
-CACHE_PARTS = 500_000
+#: Parts held in a worker's cache; it is emptied when full. 700k parts are about 170 MB.
+CACHE_PARTS = 700_000
 
 _AFTER_SPACE = re.compile(r"\s ")
+_ASCII_PAIRS = [c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 _CUT = re.compile(r"(?<=\S)(?= )")
 _LONG_PART = 4096
 #: A space or none, letters (checked further), ASCII signs other than an apostrophe.
 _SIMPLE = re.compile(r"( ?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def _space_after_space(text: str) -> bool:
+    if not text.isascii():
+        return _AFTER_SPACE.search(text) is not None
+    return any(pair in text for pair in _ASCII_PAIRS)
+
+
 def parts_of(text: str) -> list[str]:
-    if _AFTER_SPACE.search(text):
+    if _space_after_space(text):
         return _CUT.split(text)
     first, *rest = text.split(" ")
     rest = [" " + p for p in rest]
@@ -88,7 +96,7 @@ class CachedBPE:
             split = [parts_of(_clean(t)) for t in some]
             if len(self.cache) > CACHE_PARTS:
                 self.cache.clear()
-            missing = list(set().union(*split) - self.cache.keys())
+            missing = list(set(filterfalse(self.cache.__contains__, chain.from_iterable(split))))
             self.cache.update(zip(missing, self._ids(missing), strict=True))
             get = self.cache.__getitem__
             out += [b"".join(map(get, s)) for s in split]
@@ -104,10 +112,5 @@ def _clean(text: str) -> str:
     return text
 
 
-_WORKER: dict[str, CachedBPE] = {}
-
-
 def bpe(path: str) -> CachedBPE:
-    if path not in _WORKER:
-        _WORKER[path] = CachedBPE(path)
-    return _WORKER[path]
+    return held(("bpe", path), lambda: CachedBPE(path))
