@@ -5,8 +5,8 @@ digits and signs used as letters. The lexicon holds word beginnings (stems) with
 and exception phrases: word pairs around a stem that mostly occur in rows labelled 0. A score is a logistic function of the
 matched weight, normalised by a slowly growing function of the text's length.
 
-Learning reads a bounded sample of labelled rows (SAMPLE_ROWS; all rows when fewer), the bound is the only one here. Scoring
-reads every whole text. Defined results: a null or empty text scores as a text without a match; null labels are never learnt
+Learning reads a bounded sample of labelled rows with their whole texts (SAMPLE_ROWS rows of SAMPLE_CHARS characters together; all rows
+when fewer), the only bounds here. Scoring reads every whole text. Defined results: a null or empty text scores as a text without a match; null labels are never learnt
 from; without any labelled row all texts score the base rate 0; repeated rows give repeated results; extra columns never matter.
 """
 
@@ -28,8 +28,8 @@ from maskframe.llm.common import held
 
 #: Labelled rows that the lexicon is fitted on at most, chosen by a hash of doc_id.
 SAMPLE_ROWS = 12_000
-#: Characters of each text that a labelled sample row contributes to fitting; scoring reads whole texts.
-SAMPLE_CHARS = 60_000
+#: Characters that the sample's texts have together at most: rows are taken in the order of the hash, whole, while they fit in what is left.
+SAMPLE_CHARS = 40_000_000
 STEM_MIN, STEM_MAX = 4, 9
 MAX_STEMS = 20_000
 MAX_EXCEPTIONS = 5_000
@@ -124,7 +124,7 @@ def fit(rows: list[tuple[str, int]]) -> Lexicon:
     if not rows:
         return Lexicon(bias=-30.0)
     # Document frequencies of word beginnings; rows labelled 1 are read first so that only their words are counted at all.
-    folded = [(fold(t[:SAMPLE_CHARS]).split(), y) for t, y in rows]
+    folded = [(fold(t).split(), y) for t, y in rows]
     n1 = sum(y for _, y in folded)
     n0 = len(folded) - n1
     if not n1 or not n0:
@@ -192,15 +192,25 @@ def held_out_column(id_col):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Lexicon:
-    """Fits on at most sample_rows labelled rows that aren't held out; which ones is decided by a hash of the id, so the
-    same tables give the same lexicon. Reads the labels whole, and the texts of the sampled rows only."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Lexicon:
+    """Fits on at most sample_rows labelled rows, of sample_chars characters together, that aren't held out; which ones is decided by a hash
+    of the id, so the same tables give the same lexicon. Reads the labels whole, and the texts of the sampled rows only. Of rows with the
+    same id the lowest text is taken."""
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & ~held_out_column("__id"))
     known = known.groupBy("__id").agg(F.max("__y").alias("__y"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("__t"))
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t")).where(F.col("__t").isNotNull())
     # The sample is bounded by sample_rows, so it may be broadcast.
-    got = texts.join(F.broadcast(chosen), "__id").where(F.col("__t").isNotNull()).dropDuplicates(["__id"]).select("__id", "__t", "__y")
+    sizes = texts.select("__id", F.length("__t").alias("n")).join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.max("n").alias("n"))
+    taken, left = [], sample_chars
+    for r in sizes.orderBy(F.xxhash64("__id"), "__id").collect():
+        if r["n"] <= left:
+            taken.append((r["__id"], r["__y"]))
+            left -= r["n"]
+    if not taken:
+        return fit([])
+    picked = docs.sparkSession.createDataFrame(taken, "__id long, __y int")
+    got = texts.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t"))
     rows: list[tuple[str, int]] = [(r["__t"], r["__y"]) for r in got.orderBy("__id").toLocalIterator()]
     return fit(rows)
 
