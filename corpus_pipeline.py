@@ -14,8 +14,9 @@ from maskframe.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the base rules or the fertility bands reject."""
-    return quality.keep(docs, tokenizer_path("piece_bpe_32k.model"))
+    """Drops documents that the base rules or the fertility bands reject; the bands are learnt from the labelled rows among docs."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    return quality.keep(docs, model, bands=quality.learn(docs, table(spark, sf_dir, "labels"), model))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

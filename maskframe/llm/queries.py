@@ -54,7 +54,8 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm import quality
 
-    return quality.score(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    docs, model = table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
+    return quality.score(docs, model, bands=quality.learn(docs, table(spark, sf_dir, "labels"), model))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
+import random
 import re
 import zlib
 
 from maskframe.llm import quality, toxicity
 from maskframe.llm.queries import tokenizer_path
 
-from .conftest import prose
+from .conftest import WORDS, prose
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
 
@@ -42,6 +43,36 @@ def test_quality_verdicts(spark):
     assert kept.columns == ["doc_id", "text", "lang"] and sorted(r[0] for r in kept.collect()) == [1, 2]
 
 
+def test_quality_bands_are_learnt_from_clean_rows(spark):
+    def junk(seed, n):  # few words, most of them broken by symbols: passes the base rules and the fixed bands
+        r = random.Random(seed)
+        return " ".join(r.choice(WORDS[:60]) + r.choice(["", "##", "$$$", "%"]) for _ in range(n))
+
+    rows, y = [], {}
+    for i in range(1200):
+        y[i] = int(i % 4 != 3)
+        rows.append((i, prose(i, 100 + i % 200) if y[i] else junk(i, 100 + i % 200), "en" if i % 8 < 4 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = lambda of: spark.createDataFrame(list(of.items()), "doc_id long, quality int")
+    held = {i for i in y if zlib.crc32(str(i).encode()) % 5 == 0}
+    bands = quality.learn(docs, labels(y), MODEL)
+    assert bands == quality.learn(docs.repartition(3), labels({i: v if i not in held else 1 - v for i, v in y.items()}), MODEL)
+    got = {r["doc_id"]: r["kept"] for r in quality.score(docs, MODEL, bands=bands).collect()}
+    caught = [not got[i] for i in held if not y[i]]
+    lost = [not got[i] for i in held if y[i]]
+    assert sum(caught) >= 0.9 * len(caught) and sum(lost) <= 0.1 * len(lost)
+    assert {r["doc_id"] for r in quality.keep(docs, MODEL, bands=bands).collect()} == {i for i, k in got.items() if k}
+    assert quality.learn(docs, labels(y).where("false"), MODEL) == quality.FIXED
+
+
+def test_quality_limits_of_other_scripts():
+    r = random.Random(5)
+    private = " ".join("".join(chr(0xE000 + r.randrange(6000)) for _ in range(5)) for _ in range(80))
+    boxes = " ".join("".join(chr(0x2580 + r.randrange(30)) for _ in range(7)) for _ in range(80))
+    hebrew = "כל בני אדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה. כל אדם זכאי לזכויות ולחרויות שנקבעו בהכרזה זו ללא הפליה כלשהי מטעמי גזע, צבע, מין, לשון, דת, דעה פוליטית או דעה בבעיות אחרות, בגלל מוצא לאומי או חברתי, קנין, לידה או מעמד אחר."
+    assert [x[-1] for x in quality.judge([private, boxes, hebrew], [None] * 3, MODEL)] == [False, False, True]
+
+
 def test_fold():
     assert toxicity.fold("You M0R0N!") == " you moron " and toxicity.fold("іdiоt") == " idiot " and toxicity.fold("tr4sh, $cum") == " trash scum "
     assert toxicity.fold("in 1984 it") == " in 1984 it " and toxicity.fold("") == "  "
