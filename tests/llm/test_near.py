@@ -132,3 +132,29 @@ def test_block_tables_find_all_pairs(spark):
         got = {frozenset([(p["a1"], p["a2"]), (p["b1"], p["b2"])]) for p in simhash.near_pairs(df, radius).collect()}
         far = lambda p, q: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(p, q, strict=True))
         assert got == {frozenset([p, q]) for i, p in enumerate(signed) for q in signed[:i] if far(p, q) <= radius}
+
+
+def test_near_copies_are_linked(spark):
+    r = random.Random(6)
+    base = [r.getrandbits(128) for _ in range(30)]
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(128), n))
+    prints = sorted({p for x in base for p in (x, *(flip(x, n) for n in (4, 8, 10, 12, 18, 30)))})
+    halves = [tuple(v - 2**64 if v >= 2**63 else v for v in (p >> 64, p & (2**64 - 1))) for p in prints]
+    df = spark.createDataFrame(halves, "f1 long, f2 long")
+    blocks = lambda x: [(x >> 64 * (1 - h) >> s) & 255 for h in (0, 1) for s in range(0, 64, 8)]
+    all_, found = defaultdict(int), defaultdict(int)
+    for i, p in enumerate(prints):
+        for j, q in enumerate(prints):
+            if 0 < (p ^ q).bit_count() <= 18:
+                all_[halves[i]] += 1
+                same = [x == y for x, y in zip(blocks(p), blocks(q), strict=True)]
+                found[halves[i]] += any(sum(same[a:b]) >= 3 for a, b in ((0, 8), (8, 16)))
+    for chunk in (256, 2):
+        got = {(x["f1"], x["f2"]): x["n_links"] for x in simhash.near_links(df, chunk=chunk).collect()}
+        assert got == {k: n for k, n in found.items() if n}
+    assert sum(found.values()) >= 0.8 * sum(all_.values()) > 0
+    exact = simhash.near_pairs(df, 18).collect()
+    assert 2 * len(exact) == sum(all_.values())
+    text = prose(1, 400)
+    docs = spark.createDataFrame([(i, edited(i, text, 2 * (i > 0))) for i in range(8)], "doc_id long, text string")
+    assert all(x["n_links"] == 7 for x in simhash.fingerprint_documents(docs).collect())
