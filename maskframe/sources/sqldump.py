@@ -19,15 +19,16 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from maskframe.functions.literals import TOKEN, TUPLE, escape_text, unescape_text
+from maskframe.functions.literals import LITERAL, escape_text, unescape_text
 
 # Charset names of dumps, and the hints that announce one.
 CHARSETS = {"utf8mb4": "utf-8", "utf8mb3": "utf-8", "utf8": "utf-8", "latin1": "cp1252", "1251": "cp1251", "win1251": "cp1251", "windows-1251": "cp1251", "koi8r": "koi8-r"}
 _HINTS = [re.compile(rb"SET\s+NAMES\s+'?\"?([\w-]+)", re.I), re.compile(rb"DEFAULT\s+CHARSET\s*=\s*([\w-]+)", re.I), re.compile(rb"--\s*Charset:\s*([\w-]+)", re.I)]
 _HEADER = re.compile(r"INSERT\s+(?:IGNORE\s+)?INTO\s+`?([^`\s(]+)`?\s*(\((?:[^()`]|`[^`]*`)*\))?\s*VALUES\s*", re.I)
 _QUOTED = re.compile(r"'(?:[^'\\]++|\\.|'')*+'|\"(?:[^\"\\]++|\\.|\"\")*+\"|`[^`]*+`", re.S)
-_TUPLE = re.compile(TUPLE, re.S)
-_TOKEN = re.compile(TOKEN, re.S)
+_PIECE = re.compile(rf"{LITERAL}|[(),;'\"`]", re.S)
+_BETWEEN = re.compile(r"(?:\s|/\*.*?\*/)*", re.S)
+_TAIL = re.compile(r"\s*(?:ON\s+DUPLICATE|AS|RETURNING)\b", re.I)
 _STRING = re.compile(r"(\s*)([Nn]?)(['\"])(.*)\3(\s*)", re.S)
 SNIFF_BYTES = 1 << 20
 SCHEMA = "seq long, kind string, table string, columns array<string>, row long, raw string, tokens array<string>, data array<string>"
@@ -102,7 +103,41 @@ def rendered(token: str, value: str | None) -> str:
     return token.replace(old, value) if same else token
 
 
+def _tuples(text: str, at: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(begin, end, tokens) of each tuple from at on to the end of the statement, parentheses matched at any depth outside quotes."""
+    depth, begin, begun, edge, comma, tokens = 0, 0, 0, at, True, []
+    for m in _PIECE.finditer(text, at):
+        c, i = m[0], m.start()
+        if not depth:
+            if _TAIL.match(text, edge) and not comma:
+                return
+            if not _BETWEEN.fullmatch(text, edge, i) or c not in ("(", ",", ";") or (c == "(") != comma:
+                raise ValueError(f"can't parse {text[edge : i + 40]!r}")
+            if c == ";":
+                return
+            edge, comma = m.end(), c == ","
+        if c == "(":
+            if not depth:
+                begin, begun, tokens = i, i + 1, []
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                if tokens or i > begun:
+                    tokens.append(text[begun:i])
+                yield begin, i + 1, tokens
+                edge = i + 1
+        elif c == "," and depth == 1:
+            tokens.append(text[begun:i])
+            begun = i + 1
+        elif c in "'\"`":
+            raise ValueError(f"a quote isn't closed: {text[i : i + 40]!r}")
+    if depth or comma or not (_BETWEEN.fullmatch(text, edge) or _TAIL.match(text, edge)):
+        raise ValueError(f"a statement isn't closed: {text[begin if depth else edge :][:40]!r}")
+
+
 def segments(lines: Iterator[str]) -> Iterator[tuple]:
+    """The rows and what lies between them. Raises ValueError where the values of an INSERT can't be parsed."""
     seq, rows = 0, {}
     for is_insert, text in _statements(lines):
         head = _HEADER.match(text) if is_insert else None
@@ -110,17 +145,19 @@ def segments(lines: Iterator[str]) -> Iterator[tuple]:
             yield seq, "text", None, None, None, text, None, None
             seq += 1
             continue
-        columns = [c.strip().strip("`") for c in head[2][1:-1].split(",")] if head[2] else []
         at = 0
-        for t in _TUPLE.finditer(text, head.end()):
-            tokens = _TOKEN.findall(t[0][1:-1])
-            if ",".join(tokens) != t[0][1:-1]:  # an empty token: kept as it is
-                continue
-            yield seq, "text", head[1], None, None, text[at : t.start()], None, None
-            rows[head[1]] = rows.get(head[1], 0) + 1
-            yield seq + 1, "row", head[1], columns, rows[head[1]], t[0], tokens, [value_of(x) for x in tokens]
-            seq, at = seq + 2, t.end()
-        yield seq, "text", head[1], None, None, text[at:], None, None
+        while head:
+            columns = [c.strip().strip("`") for c in head[2][1:-1].split(",")] if head[2] else []
+            table, stop = head[1], head.end()
+            for begin, end, tokens in _tuples(text, head.end()):
+                yield seq, "text", table, None, None, text[at:begin], None, None
+                rows[table] = rows.get(table, 0) + 1
+                yield seq + 1, "row", table, columns, rows[table], text[begin:end], tokens, [value_of(x) for x in tokens]
+                seq, at, stop = seq + 2, end, end
+            # Another INSERT may follow in the same line.
+            ends = next((m.end() for m in _PIECE.finditer(text, stop) if m[0] == ";"), len(text))
+            head = _HEADER.match(text, _BETWEEN.match(text, ends).end())
+        yield seq, "text", table, None, None, text[at:], None, None
         seq += 1
 
 

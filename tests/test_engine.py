@@ -68,6 +68,30 @@ def test_dump_round_trip(spark, tmp_path):
     assert [r["row"] for r in dumps.read(spark, str(out)).where("kind = 'row'").orderBy("seq").collect()] == [1, 2, 3, 1, 2, 3]
 
 
+def test_dump_with_nested_calls_and_empty_tokens(spark, tmp_path):
+    dump = "INSERT INTO `p` (`id`, `x`, `name`) VALUES (1, f(g(2)), 'Bob'),(2, f(3), 'Tim') , (h(i(j('a)('), 4)),, 'Ann''s'),\n(4, NULL, 'Eve)') /* end */;\n"
+    dump += "INSERT INTO p (id, x, name) VALUES (5,,'Ida'); INSERT INTO `q` VALUES ((1+(2*3)),'Max') ON DUPLICATE KEY UPDATE a=VALUES(a);\n"
+    path, out = tmp_path / "d.sql", tmp_path / "out.sql"
+    path.write_text(dump, encoding="utf-8")
+    got = dumps.read(spark, str(path)).orderBy("seq").collect()
+    assert "".join(r["raw"] for r in got) == dump
+    rows = [(r["table"], r["row"], [t.strip() for t in r["tokens"]]) for r in got if r["kind"] == "row"]
+    assert rows == [
+        ("p", 1, ["1", "f(g(2))", "'Bob'"]), ("p", 2, ["2", "f(3)", "'Tim'"]), ("p", 3, ["h(i(j('a)('), 4))", "", "'Ann''s'"]), ("p", 4, ["4", "NULL", "'Eve)'"]),
+        ("p", 5, ["5", "", "'Ida'"]), ("q", 1, ["(1+(2*3))", "'Max'"]),
+    ]
+    assert dumps.mask_dump(spark, str(path), str(out), Engine(spark, Config({"p.name": "name"}))) == 6
+    text = out.read_text(encoding="utf-8")
+    before, after = ([r["tokens"][2].strip() for r in x if r["kind"] == "row" and r["table"] == "p"] for x in (got, dumps.read(spark, str(out)).orderBy("seq").collect()))
+    assert all(a != b for a, b in zip(before, after, strict=True)) and "f(g(2))" in text and "(5,," in text
+
+
+@pytest.mark.parametrize("values", ["(1, 'a'", "(1, 'a);\n", "(1, f(2);\n", "(1) x (2);\n", "(1) (2);\n", "x;\n"])
+def test_dump_that_cannot_be_parsed(values):
+    with pytest.raises(ValueError):
+        list(sqldump.segments(iter([f"INSERT INTO t (a) VALUES {values}"])))
+
+
 def test_nothing_to_mask(spark, tmp_path):
     path = tmp_path / "d.sql"
     path.write_text("INSERT INTO t VALUES (1, 'a');\n")
