@@ -31,8 +31,6 @@ SAMPLE_ROWS = 12_000
 #: Characters that the sample's texts have together at most: rows are taken in the order of the hash, whole, while they fit in what is left.
 SAMPLE_CHARS = 40_000_000
 STEM_MIN, STEM_MAX = 4, 9
-MAX_STEMS = 20_000
-MAX_EXCEPTIONS = 5_000
 
 #: Digits and signs used as letters, and look-alikes of other scripts.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
@@ -156,8 +154,6 @@ def fit(rows: list[tuple[str, int]]) -> Lexicon:
         if shorter and abs(odds[s] - chosen[shorter[-1]]) < 0.8:
             continue
         chosen[s] = odds[s]
-        if len(chosen) >= MAX_STEMS:
-            break
     # Exceptions: a pair of words around a stem that occurs in rows labelled 0 and hardly in others.
     stems = set(chosen)
     around = defaultdict(lambda: [0, 0])
@@ -168,7 +164,7 @@ def fit(rows: list[tuple[str, int]]) -> Lexicon:
                 pairs |= {" ".join(words[max(0, i - 1) : i + 1]), " ".join(words[i : i + 2])}
         for p in pairs:
             around[p][y] += 1
-    exceptions = sorted((p for p, (a, b) in around.items() if " " in p and a >= 2 and a >= 5 * b), key=lambda p: (-around[p][0], p))[:MAX_EXCEPTIONS]
+    exceptions = sorted((p for p, (a, b) in around.items() if " " in p and a >= 2 and a >= 5 * b), key=lambda p: (-around[p][0], p))
     lex = Lexicon(stems=chosen, exceptions=exceptions)
     # Two parameters of the logistic function, by Newton steps with a small ridge.
     scorer = Scorer(lex)
@@ -231,7 +227,7 @@ def _key(lexicon: Lexicon) -> int:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, score, predicted for each row of docs. The lexicon (MAX_STEMS entries at most) travels with the task."""
+    """id_col, held_out, score, predicted for each row of docs. The lexicon, bounded by the sample it was learnt from, travels with the task."""
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out_column(id_col), F.lit(False)).alias("held_out"))
     key = _key(lexicon)
 

@@ -106,3 +106,18 @@ def test_held_out_labels_are_not_read(spark):
     docs, labels, _ = labelled(spark)
     other = labels.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 1 - toxic, toxic) as toxic")
     assert toxicity.learn(docs, labels) == toxicity.learn(docs, other)
+
+
+def test_lexicon_is_not_cut():
+    # More stems and exceptions than a lexicon held when it was cut at 20 000 and 5 000.
+    rng = random.Random(8)
+    seen = set()
+    while len(seen) < 26_000:
+        seen.add("".join(rng.choice("bcdfghklmnprst") for _ in range(4)))
+    stems = sorted(seen)
+    stems, around = stems[:20_500], stems[20_500:]
+    bad = " ".join(stems)
+    good = " ".join(f"{a} {b}" for a, b in zip(around, stems, strict=False))
+    lex = toxicity.fit([(bad, 1)] * 40 + [(good, 0)] * 2 + [("plain words only", 0)] * 200)
+    assert set(stems) <= set(lex.stems) and len(lex.exceptions) >= len(around)
+    assert toxicity.Scorer(lex).score(stems[-1]) > toxicity.Scorer(lex).score("plain")
