@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -30,16 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: the lineage ends there, and a lost executor costs nothing
-    already written. The folder goes when the application ends."""
+    already written. The folder goes with spent(), or else when the application ends. files: how many at most."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/maskframe-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(at)
+    path = _path(spark, at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._maskframe_at = at
+    return out
+
+
+def _path(spark: SparkSession, at: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+
+
+def spent(*frames: DataFrame) -> None:
+    """Deletes the folders of materialised frames that nothing reads any more."""
+    for df in frames:
+        path = _path(df.sparkSession, df._maskframe_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def files_for(rows: int, each: int = 250_000) -> int:
+    """Files for narrow rows, so that a small frame isn't scattered over as many files as there are shuffle partitions."""
+    return max(8, -(-rows // each))
 
 
 def steady(df: DataFrame) -> DataFrame:
@@ -130,15 +148,46 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 _HELD: dict = {}
 
 
+def trim() -> None:
+    """Gives back to the system what the allocators of a Python worker hold unused."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in glibc
+    if give is not None:
+        give(0)
+
+
 def held(key: tuple, make):
     """What a Python worker keeps between tasks under key. Only one operator's cache is kept: workers live on from stage to stage, and caches
     of several operators would add up."""
     if key not in _HELD:
         _HELD.clear()
+        trim()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def lean(run):
+    """run, a function over the frames or batches of a task, with the memory that it has freed given back at the end."""
+
+    def trimmed(frames):
+        yield from run(frames)
+        trim()
+
+    return trimmed
+
+
+def slices(arrow_batches, column: str, limit: int = 4 << 20):
+    """Consecutive slices of Arrow batches with about limit bytes in column, one row at least, so that Python objects are made of a slice
+    only."""
+    for b in arrow_batches:
+        per_row = max(1, b[column].get_total_buffer_size() // max(1, b.num_rows))
+        step = max(1, min(b.num_rows, limit // per_row))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def text_bytes(text) -> bytes:
     """UTF-8 of a text that may be null or hold lone surrogates."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

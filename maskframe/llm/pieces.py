@@ -6,7 +6,8 @@ these sums, then the one before it, and so on: an exact sample of all segmentati
 word's number and the step, so a row's sample is the same in every run and partition. A character without a piece of its own falls
 back to its UTF-8 bytes, and a literal U+2581 does too, so decoding gives back the text, every space and line end included.
 
-Lattices are built for all unseen words of a batch at once and cached. Words of over LONGEST characters are sampled in parts of LONGEST.
+Lattices are built for all unseen words of a batch at once and cached. Sums are kept as logarithms, so a word may be of any length, up to
+a whole text without a space.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text; lone surrogates become question marks; a null key
 has seed 0; repeated rows give repeated results; an empty table gives no rows; extra columns are ignored; texts of any length are
@@ -16,21 +17,68 @@ encoded whole.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import batches, held, mix64
+from maskframe.llm.common import batches, held, lean, mix64, slices
 
-LONGEST = 64
-#: Words whose lattices a worker holds; they are dropped when full. 250k lattices are about 100 MB.
-CACHE_WORDS = 250_000
+#: A worker drops its lattices when they have more edges than this: 16 bytes an edge and about 150 a word, so some 130 MB.
+CACHE_EDGES = 4_000_000
 FALLBACK_WEIGHT = 1e-7
-_M = np.uint64(0xD1342543DE82EF95)
+_STEP = np.uint64(0xD1342543DE82EF95)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_LAST = np.uint64(1 << 63)
+
+
+class Trie:
+    """The pieces as a trie whose edges (state, character) -> state lie in one open-addressed table."""
+
+    BITS = 20
+
+    def __init__(self, pieces: dict[str, int]):
+        states: dict[str, int] = {"": 0}
+        for piece in pieces:
+            for n in range(1, len(piece) + 1):
+                states.setdefault(piece[:n], len(states))
+        self.piece = np.full(len(states), -1, np.int64)
+        for piece, i in pieces.items():
+            self.piece[states[piece]] = i
+        bits = max(self.BITS, (4 * len(states)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        keys = np.array([states[p[:-1]] << 21 | ord(p[-1]) for p in states if p], np.int64)
+        values = np.array([i for p, i in states.items() if p], np.int64)
+        self.key, self.value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        slot = self._slot(keys)
+        while len(keys):  # those that find their slot taken go one further
+            free = self.key[slot] < 0
+            self.key[slot[free]] = keys[free]
+            put = self.key[slot] == keys
+            self.value[slot[put]] = values[put]
+            keys, values, slot = keys[~put], values[~put], (slot[~put] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _GOLD) >> self.shift).astype(np.int64)
+
+    def follow(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The next states, -1 where no piece goes on."""
+        keys = states << 21 | chars
+        slot = self._slot(keys)
+        there = self.key[slot]
+        out = np.where(there == keys, self.value[slot], -1)
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & self.mask
+            there = self.key[slot[on]]
+            hit = there == keys[on]
+            out[on[hit]] = self.value[slot[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return out
 
 
 class Lattices:
@@ -47,155 +95,138 @@ class Lattices:
                 b = int(sp.id_to_piece(i)[3:5], 16)
                 self.byte_id[b] = i
                 self.text[i] = bytes([b])
-        by_length: dict[int, list[tuple[int, int]]] = {}
-        self.weight = np.zeros(size)
+        spelt = {i: sp.id_to_piece(i).replace("\u2581", " ") for i in plain}
+        weight = np.zeros(size)
         for rank, i in enumerate(plain):
-            piece = sp.id_to_piece(i).replace("▁", " ")
-            self.text[i] = piece.encode()
-            self.weight[i] = (rank + 1.0) ** (-1 / temperature)
-            h = 0
-            for t, c in enumerate(piece):
-                h = (h + ord(c) * pow(int(_M), t, 1 << 64)) & ((1 << 64) - 1)
-            by_length.setdefault(len(piece), []).append((h, i))
-        self.weight /= self.weight.sum()
-        self.tables = {}
-        for n, rows in sorted(by_length.items()):
-            rows.sort()
-            self.tables[n] = (np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64))
+            self.text[i] = spelt[i].encode()
+            weight[i] = (rank + 1.0) ** (-1 / temperature)
+        self.log_weight = np.log(np.maximum(weight / weight.sum(), 1e-300))
+        self.trie = Trie({p: i for i, p in spelt.items() if p})
         self.clear()
 
-    #: What sampling reads, by name: last node of each word; for each node whether it opens a word, and its first edge; for each edge the
-    #: summed probability up to it among the edges into its node, its piece, and the node that it comes from.
-    ARRAYS = {"end": np.int64, "is_start": bool, "edge_from": np.int64, "cdf": np.float64, "piece": np.int32, "prev": np.int32}
+    #: What sampling reads: for each edge the summed probability (of 2^63) up to it among the edges into its node, its piece, and the first
+    #: edge into the node that it comes from, -1 where a word begins. end: the first edge into the last node of each word.
+    ARRAYS = {"end": np.int64, "share": np.uint64, "piece": np.int32, "before": np.int32}
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.nodes = self.edges = 0
+        self.edges = 0
         self.used = dict.fromkeys(self.ARRAYS, 0)
         for name, kind in self.ARRAYS.items():
             setattr(self, name, np.zeros(1 << 12, kind))
 
     def _append(self, new: tuple) -> None:
-        """Adds to the arrays, whose room doubles when it is used up."""
+        """Adds to the arrays, whose room grows by half when it is used up."""
         for name, part in zip(self.ARRAYS, new, strict=True):
             have, n = getattr(self, name), self.used[name]
             if n + len(part) > len(have):
-                have = np.concatenate([have[:n], np.zeros(max(len(part), n), have.dtype)])
+                have = np.concatenate([have[:n], np.zeros(max(len(part), n // 2), have.dtype)])
                 setattr(self, name, have)
             have[n : n + len(part)] = part
             self.used[name] = n + len(part)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.index) > CACHE_WORDS:
+        if self.edges > CACHE_EDGES:
             self.clear()
-        missing = [w for w in words if w not in self.index]
-        if not missing:
-            return
-        n = len(self.index)
-        self._append(self._build(missing))
-        self.index.update(zip(missing, range(n, n + len(missing)), strict=True))
+        missing = sorted(words.difference(self.index), key=len, reverse=True)
+        for some in batches(missing, len, 200_000):
+            n = len(self.index)
+            self._append(self._build(some))
+            self.index.update(zip(some, range(n, n + len(some)), strict=True))
 
     def _build(self, words: list[str]) -> tuple:
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+        """The lattices of words, longest first. The nodes (and characters) of all words at the same place are neighbours: node (word, place)
+        has the number base[place] + word, so edges sorted by the node they end in are sorted by place too."""
         size = np.fromiter(map(len, words), np.int64, len(words))
+        longest = int(size[0])
+        alive = np.searchsorted(-size, -np.arange(longest + 1), side="right")  # words that reach a place
+        base = np.cumsum(alive) - alive
+        text = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        place = np.repeat(np.arange(longest), alive[1:])  # of each character but in the order of nodes
+        word = np.arange(len(text)) - (base[1:] - alive[0])[place]
         first = np.cumsum(size) - size
-        word = np.repeat(np.arange(len(words)), size)
-        local = np.arange(len(chars)) - first[word]
-        node = np.arange(len(chars)) + word  # one more node than characters in each word
-        left = size[word] - local
-        begin, length, piece = [], [], []
-        h = np.zeros(len(chars), np.uint64)
-        power = np.uint64(1)
-        live = np.arange(len(chars))
-        single = np.zeros(len(chars), bool)
-        with np.errstate(over="ignore"):
-            for n in range(1, max(self.tables) + 1):
-                live = live[left[live] >= n]
-                if not len(live):
-                    break
-                h[live] += chars[live + n - 1] * power
-                power = power * _M
-                if n not in self.tables:
-                    continue
-                keys, ids = self.tables[n]
-                at = np.searchsorted(keys, h[live])
-                at[at == len(keys)] = 0
-                hit = keys[at] == h[live]
-                begin.append(live[hit])
-                length.append(np.full(int(hit.sum()), n))
-                piece.append(ids[at[hit]])
-                if n == 1:
-                    single[live[hit]] = True
+        begin = first[word] + place  # in text
+        start, end, piece = [], [], []
+        live, state = np.arange(len(text)), np.zeros(len(text), np.int64)
+        single = np.zeros(len(text), bool)
+        n = 0
+        while len(live):
+            state = self.trie.follow(state, text[begin[live] + n])
+            n += 1
+            live, state = live[state >= 0], state[state >= 0]
+            got = self.trie.piece[state]
+            at = live[got >= 0]
+            start.append(base[place[at]] + word[at])
+            end.append(base[place[at] + n] + word[at])
+            piece.append(got[got >= 0])
+            if n == 1:
+                single[at] = True
+            on = begin[live] + n < (first + size)[word[live]]
+            live, state = live[on], state[on]
         other = np.flatnonzero(~single)
-        begin.append(other)
-        length.append(np.ones(len(other), np.int64))
-        piece.append(-1 - chars[other].astype(np.int64))
-        begin, length, piece = np.concatenate(begin), np.concatenate(length), np.concatenate(piece)
-        weight = np.where(piece >= 0, self.weight[np.maximum(piece, 0)], FALLBACK_WEIGHT) * np.exp(4.0 * length)
-        start, end = node[begin], node[begin] + length
-        order = np.lexsort((-weight, end))  # the likeliest way into a node first
-        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
-        alpha = np.zeros(len(chars) + len(words))
-        alpha[first + np.arange(len(words))] = 1.0
-        place = local[begin[order]] + length[order]
-        by_place = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[by_place], np.arange(1, int(size.max()) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # forward filtering, all words at once
-            e = by_place[a:b]
-            np.add.at(alpha, end[e], alpha[start[e]] * weight[e])
-        share = np.cumsum(alpha[start] * weight / alpha[end])
-        opens = np.flatnonzero(np.diff(end, prepend=-1))
+        start.insert(0, base[place[other]] + word[other])
+        end.insert(0, base[place[other] + 1] + word[other])
+        piece.insert(0, -1 - text[begin[other]])
+        start, end, piece = (np.concatenate(x[::-1]) for x in (start, end, piece))  # the longest first, as they are the likeliest
+        order = np.argsort(end, kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        weight = np.where(piece >= 0, self.log_weight[np.maximum(piece, 0)], math.log(FALLBACK_WEIGHT))
+        opens = np.flatnonzero(np.diff(end, prepend=-1))  # one for each node but the words' first ones, in their order
         runs = np.diff(np.append(opens, len(end)))
-        base = np.repeat(np.append(0.0, share[opens[1:] - 1]), runs)
-        within = share - base
-        within[np.append(opens[1:], len(end)) - 1] = 1.0
-        edge_from = np.zeros(len(chars) + len(words), np.int64)
-        edge_from[end[opens]] = opens + self.edges
+        alpha = np.zeros(int(base[-1] + alive[-1]))
+        odds = np.empty(len(end))
+        cuts = np.append(opens, len(end))[base[1:] - alive[0]].tolist() + [len(end)]
+        node = 0
+        for p in range(longest):  # forward filtering, all words at once
+            a, b, k = cuts[p], cuts[p + 1], int(alive[p + 1])
+            way = alpha[start[a:b]] + weight[a:b]
+            heads, each = opens[node : node + k] - a, runs[node : node + k]
+            top = np.maximum.reduceat(way, heads)
+            way = np.exp(way - np.repeat(top, each))
+            total = np.add.reduceat(way, heads)
+            alpha[base[p + 1] : base[p + 1] + k] = top + np.log(total)
+            odds[a:b] = way / np.repeat(total, each)
+            node += k
+        share = np.cumsum(odds)
+        share -= np.repeat(share[opens] - odds[opens], runs)
+        share = (np.minimum(share, 1.0) * 2.0**63).astype(np.uint64)
+        share[opens + runs - 1] = _LAST
+        into = np.append(np.full(alive[0], -1), opens + self.edges)  # the first edge of each node
+        ends = into[base[size] + np.arange(len(words))]
         self.edges += len(end)
-        is_start = np.zeros(len(alpha), bool)
-        is_start[first + np.arange(len(words))] = True
-        ends = first + np.arange(len(words)) + size + self.nodes
-        out = (ends, is_start, edge_from, within, piece.astype(np.int32), (start + self.nodes).astype(np.int32))
-        self.nodes += len(alpha)
-        return out
+        return ends, share, piece.astype(np.int32), into[start].astype(np.int32)
 
     def sample(self, words: np.ndarray, seeds: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(piece or -1 - code point, word occurrence) in text order, for occurrences of cached words."""
-        state = self.end[words]
+        """(piece or -1 - code point in text order, how many each word has), for occurrences of cached words."""
+        edge = self.end[words]
         who = np.arange(len(words))
+        count = np.zeros(len(words), np.int64)
+        got = []
         with np.errstate(over="ignore"):
-            base = mix64(seeds + numbers.astype(np.uint64) * _GOLD)
-        got, whose = [], []
-        step = 0
-        while len(who):
-            with np.errstate(over="ignore"):
-                u = (mix64(base[who] + np.uint64(step + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = self.edge_from[state]
-            on = np.flatnonzero(u >= self.cdf[edge])
-            while len(on):
-                edge[on] += 1
-                on = on[u[on] >= self.cdf[edge[on]]]
-            got.append(self.piece[edge])
-            whose.append(who)
-            state = self.prev[edge].astype(np.int64)
-            on = ~self.is_start[state]
-            who, state = who[on], state[on]
-            step += 1
-        if not got:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        pieces, occurrence = np.concatenate(got[::-1]), np.concatenate(whose[::-1])
-        order = np.argsort(occurrence, kind="stable")
-        return pieces[order], occurrence[order]
+            state = mix64(seeds + numbers.astype(np.uint64) * _GOLD)
+            while len(who):
+                u = state >> np.uint64(1)
+                on = np.flatnonzero(u >= self.share[edge])
+                while len(on):
+                    edge[on] += 1
+                    on = on[u[on] >= self.share[edge[on]]]
+                got.append((who, self.piece[edge]))
+                count[who] += 1
+                edge = self.before[edge]
+                on = np.flatnonzero(edge >= 0)
+                edge, who, state = edge[on].astype(np.int64), who[on], state[on] * _STEP + _GOLD
+        out = np.empty(int(count.sum()), np.int32)
+        last = np.cumsum(count) - 1
+        for step, (who, piece) in enumerate(got):
+            out[last[who] - step] = piece
+        return out, count
 
 
 def words_of(text: str) -> list[str]:
-    """Words with their leading space; long ones in parts."""
+    """Words with their leading space."""
     first, *rest = text.split(" ")
-    out = [first] if first else []
-    out += [" " + w for w in rest]
-    if len(text) > LONGEST and max(map(len, out)) > LONGEST:
-        out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-    return out
+    rest = [" " + w for w in rest]
+    return [first, *rest] if first else rest
 
 
 def clean(text) -> str:
@@ -208,8 +239,8 @@ def clean(text) -> str:
     return text
 
 
-def seed(key) -> int:
-    return 0 if key is None or key != key else int(key) & ((1 << 64) - 1)
+def seed(key: int | None) -> int:
+    return 0 if key is None else key & ((1 << 64) - 1)
 
 
 def lattices(model: str, temperature: float) -> Lattices:
@@ -223,15 +254,14 @@ def encode(texts: list, keys: list, model: str, temperature: float = 1.0) -> lis
     for part in batches([(clean(t), seed(k)) for t, k in zip(texts, keys, strict=True)], lambda r: len(r[0]), 500_000):
         split = [words_of(t) for t, _ in part]
         lat.learn(set().union(*split))
-        get = lat.index.__getitem__
         size = np.fromiter(map(len, split), np.int64, len(split))
         total = int(size.sum())
-        at = np.fromiter((i for s in split for i in map(get, s)), np.int64, total)
+        at = np.fromiter(map(lat.index.__getitem__, chain.from_iterable(split)), np.int64, total)
         seeds = mix64(np.array([s for _, s in part], np.uint64) ^ _GOLD)
         first = np.cumsum(size) - size
-        pieces, whose = lat.sample(at, np.repeat(seeds, size), np.arange(total) - np.repeat(first, size))
-        cuts = np.searchsorted(whose, np.append(first, total))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        pieces, count = lat.sample(at, np.repeat(seeds, size), np.arange(total) - np.repeat(first, size))
+        cuts = np.append(0, np.cumsum(count))[np.append(first, total)].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             ids = pieces[a:b]
             if len(ids) and ids.min() < 0:
                 full: list[int] = []
@@ -247,32 +277,29 @@ def decode(ids, model: str, temperature: float = 1.0) -> str:
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-
-def _numbers(ids: list) -> list:
-    return [None if i is None else int(i) for i in ids]
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def sample(docs: DataFrame, model: str, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, pieces (array of ids) for each row."""
 
     def run(frames):
-        for f in frames:
-            keys = _numbers(f["id"].tolist())
-            yield pd.DataFrame({id_col: pd.array(keys, "Int64"), "pieces": encode(f["text"].tolist(), keys, model, temperature)})
+        for b in slices(frames, "text"):
+            ids = encode(b["text"].to_pylist(), b["id"].to_pylist(), model, temperature)
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "pieces"])
 
-    return _narrow(docs, id_col, text_col).mapInPandas(run, f"{id_col} long, pieces array<int>")
+    return _narrow(docs, id_col, text_col).mapInArrow(lean(run), f"{id_col} long, pieces array<int>")
 
 
 def restore(sampled: DataFrame, model: str, temperature: float = 1.0, id_col: str = "doc_id") -> DataFrame:
     """id_col, text from the pieces that sample() gives."""
 
     def run(frames):
-        for f in frames:
-            yield pd.DataFrame({id_col: f[id_col], "text": [decode(p, model, temperature) for p in f["pieces"]]})
+        for b in slices(frames, "pieces"):
+            texts = [decode(p, model, temperature) for p in b["pieces"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return sampled.select(id_col, "pieces").mapInPandas(run, f"{id_col} long, text string")
+    return sampled.select(F.col(id_col).cast("long").alias("id"), "pieces").mapInArrow(lean(run), f"{id_col} long, text string")
 
 
 def round_trip(docs: DataFrame, model: str, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,14 +307,12 @@ def round_trip(docs: DataFrame, model: str, temperature: float = 1.0, id_col: st
     decoding gives back. Encoding and decoding run in one pass, so ids never leave the worker."""
 
     def run(frames):
-        for f in frames:
-            keys = _numbers(f["id"].tolist())
+        for b in slices(frames, "text"):
             rows = []
-            for key, ids in zip(keys, encode(f["text"].tolist(), keys, model, temperature), strict=True):
+            for ids in encode(b["text"].to_pylist(), b["id"].to_pylist(), model, temperature):
                 back = decode(ids, model, temperature)
                 rows.append((len(ids), zlib.crc32(ids.astype("<i4").tobytes()), len(back), hashlib.sha256(back.encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_pieces", "pieces_crc32", "decoded_chars", "decoded_sha256"])
-            out.insert(0, id_col, pd.array(keys, "Int64"))
-            yield out
+            columns = [b["id"], *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_pieces", "pieces_crc32", "decoded_chars", "decoded_sha256"])
 
-    return _narrow(docs, id_col, text_col).mapInPandas(run, f"{id_col} long, n_pieces long, pieces_crc32 long, decoded_chars long, decoded_sha256 string")
+    return _narrow(docs, id_col, text_col).mapInArrow(lean(run), f"{id_col} long, n_pieces long, pieces_crc32 long, decoded_chars long, decoded_sha256 string")
