@@ -2,27 +2,27 @@
 
 The vocabulary's pre-tokeniser never joins a non-space character with white space after it, except that one space may lead a
 word. So a text may be cut before any space that follows a non-space, and each part tokenised by itself: the ids are those of
-the whole text. Parts are cached in the worker.
+the whole text. Parts are cached in the worker. A text that holds one of the vocabulary's special strings is tokenised as a whole.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain, filterfalse
+from array import array
+from itertools import chain
 
-import numpy as np
+from maskframe.llm.common import held
 
-from maskframe.llm.common import batches, held
-
-#: Parts held in a worker's cache; it is emptied when full. 700k parts are about 170 MB.
-CACHE_PARTS = 700_000
+#: Parts held in each of a worker's two caches; one that is full is emptied. 300k parts are about 70 MB, and few words lack a space.
+CACHE_PARTS = 300_000
 
 _AFTER_SPACE = re.compile(r"\s ")
 _ASCII_PAIRS = [c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Longer parts aren't cached.
 _LONG_PART = 4096
-#: A space or none, letters (checked further), ASCII signs other than an apostrophe.
-_SIMPLE = re.compile(r"( ?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters (checked further), then ASCII signs other than an apostrophe.
+_SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _space_after_space(text: str) -> bool:
@@ -32,11 +32,11 @@ def _space_after_space(text: str) -> bool:
 
 
 def parts_of(text: str) -> list[str]:
-    if _space_after_space(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    rest = [" " + p for p in rest]
-    return [first, *rest] if first else rest
+    """The text before its first cut (maybe empty), then the parts that follow, each without the space that leads it."""
+    if not _space_after_space(text):
+        return text.split(" ")
+    first, *rest = _CUT.split(text)
+    return [first, *(p[1:] for p in rest)]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,61 +46,73 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Parts(dict):
+    """Ids by part, found when first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.find(part)
+        if len(part) <= _LONG_PART:
+            if len(self) >= CACHE_PARTS:
+                self.clear()
+            self[part] = got
+        return got
+
+
 class CachedBPE:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.model = self.tok.model
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.tokenize = self.tok.model.tokenize
         self.letters = _byte_letters()
-        self.cache: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        """The ids of one pre-token: letters with at most one space before them, or signs without letters, digits and spaces."""
-        got = self.cache.get(word)
-        if got is None:
-            seen = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            got = self.cache[word] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
-        return got
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
+        self.space = self.letters[32]
+        self.line = self._word("", "\n")
+        self.bare = _Parts(lambda word: self._word("", word))  # pre-tokens without a space before them
+        self.cache = _Parts(self._part)  # parts after a space
+
+    def _word(self, space: str, word: str) -> bytes:
+        """The ids of one pre-token: letters or signs, with at most one space before them."""
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(self.space + word if space else word)]).tobytes()
+
+    def _part(self, part: str, space: str = " ") -> bytes:
         """Parts made of letters, a run of signs after them, and single line ends are pre-tokens at sight and go straight to the model;
         all others go through the whole tokeniser."""
-        out: dict[str, bytes] = {}
-        general = []
-        for p in parts:
+        if len(part) <= _LONG_PART:
+            if part.isalpha():
+                return self._word(space, part)
             found = []
-            for i, line in enumerate(p.split("\n")):
+            for i, line in enumerate(part.split("\n")):
                 m = _SIMPLE.fullmatch(line)
-                if m is None or not m[2].isalpha() or len(line) > _LONG_PART or (i and m[1]):
+                if m is None or not m[1].isalpha():
                     break
                 if i:
-                    found.append(self._word("\n"))
-                found.append(self._word(m[1] + m[2]))
-                if m[3]:
-                    found.append(self._word(m[3]))
+                    found.append(self.line)
+                found.append(self.bare[m[1]] if i or not space else self.cache[m[1]])
+                if m[2]:
+                    found.append(self.bare[m[2]])
             else:
-                out[p] = b"".join(found)
-                continue
-            general.append(p)
-        for some in batches(general, len, 200_000):
-            for p, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
-                out[p] = np.array(e.ids, "<u4").tobytes()
-        return [out[p] for p in parts]
-
-    def encode(self, texts: list) -> list[bytes]:
-        """The ids of each text (null: none) as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for some in batches([t if isinstance(t, str) else "" for t in texts], len, 1_000_000):
-            split = [parts_of(_clean(t)) for t in some]
-            if len(self.cache) > CACHE_PARTS:
-                self.cache.clear()
-            missing = list(set(filterfalse(self.cache.__contains__, chain.from_iterable(split))))
-            self.cache.update(zip(missing, self._ids(missing), strict=True))
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, s)) for s in split]
-        return out
+                return b"".join(found)
+        return self._whole(space + part)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text (null: none) as 32-bit integers in the machine's order."""
+        if not text:
+            return b""
+        text = _clean(text)
+        for s in self.special:
+            if s in text:
+                return self._whole(text)
+        first, *rest = parts_of(text)
+        return b"".join(chain((self._part(first, ""),) if first else (), map(self.cache.__getitem__, rest)))
 
 
 def _clean(text: str) -> str:

@@ -6,8 +6,8 @@ there; the residual is packed by best fit over counts, longest first. The fit se
 cost doesn't depend on the number of documents.
 
 Each piece then takes a place: its rank among the pieces of its length, which is a rank within a salted group plus the sizes
-of the groups before, so that no group grows with a frequent length. Places are looked up in the pattern table, whose size is
-bounded by max_len too (PLACES_MAX).
+of the groups before, so that no group grows with a frequent length. Places are looked up in the pattern table, which has a row for each
+length in each pattern in use; there are at most max_len^2 / 12 patterns, and best fit adds a few for each length.
 
 Defined results: a null or empty text is one piece that holds the end token alone; null ids and repeated rows are packed like
 any other row; an empty table gives no rows; extra columns are ignored; texts of any length are read whole.
@@ -18,14 +18,15 @@ from __future__ import annotations
 import bisect
 import math
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import materialize
+from maskframe.llm.common import lean, materialize, slices
 
 ITERATIONS = 400
 PIECES_PER_SALT = 100_000
@@ -162,25 +163,26 @@ def cut(n: int, max_len: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, max_len: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row for each piece: id_col, piece, start, length, ids_crc32."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(frames):
         from maskframe.llm.bpe import bpe
 
         coder = bpe(path)
-        for f in frames:
-            rows = []
-            for key, ids in zip(f["id"].tolist(), coder.encode(f["text"].tolist()), strict=True):
-                ids += end
+        for b in slices(frames, "text"):
+            rows, of = [], []
+            for doc, text in enumerate(b["text"].to_pylist()):
+                ids = coder.encode(text) + end
                 view = memoryview(ids)
-                key = None if key is None or key != key else int(key)
-                rows += [(key, k, s, n, zlib.crc32(view[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, max_len))]
-            out = pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"])
-            out[id_col] = out[id_col].astype("Int64")
-            yield out
+                for k, (s, n) in enumerate(cut(len(ids) // 4, max_len)):
+                    rows.append((k, s, n, zlib.crc32(view[4 * s : 4 * (s + n)])))
+                    of.append(doc)
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(of, pa.int64())), *columns], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
-    narrow = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInPandas(run, f"{id_col} long, piece int, start long, length long, ids_crc32 long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(lean(run), f"{id_col} long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,12 +203,10 @@ def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = 2, id_co
     ranked = ranked.join(sizes, ["length", "salt"]).select(*cols, (F.col("before") + F.col("nth")).alias("nth"))
 
     def place(frames):
-        for f in frames:
-            rank = f["nth"].to_numpy(np.int64)
-            at = np.searchsorted(table["key"], (f["length"].to_numpy(np.int64) << 44) + rank, side="right") - 1
-            out = f[cols].copy()
-            out["sequence_id"] = table["sequence"][at] + rank - table["rank"][at]
-            out["offset"] = table["offset"][at]
-            yield out
-
-    return ranked.mapInPandas(place, f"{id_col} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        for b in frames:
+            rank, length = b["nth"].to_numpy(), b["length"].to_numpy()
+            at = np.searchsorted(table["key"], (length << 44) + rank, side="right") - 1
+            placed = [pa.array(table["sequence"][at] + rank - table["rank"][at]), pa.array(table["offset"][at])]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in cols), *placed], names=[*cols, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(place, f"{id_col} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
