@@ -5,7 +5,8 @@ the exclusive or of position-dependent 128-bit hashes of the turns so far. A con
 hash of another one is dropped by an anti-join; of equal conversations the smallest conv_id stays. Only then are the maximal ones
 rendered.
 
-Positions and prefix hashes come from blocks of BLOCK turn numbers, and block totals are combined after, so a conversation with
+Only 128-bit hashes of the turns travel until the maximal conversations are known; then their texts are fetched, once. Positions and
+prefix hashes come from blocks of BLOCK turn numbers, and block totals are combined after, so a conversation with
 a large share of all turns is spread over many tasks. A rendered conversation comes in chunks of BLOCK turns.
 
 Defined results: rows that are equal in all four columns are one turn; turns are ordered by (turn, role, text), nulls first; a
@@ -18,52 +19,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import materialize
+from maskframe.llm.common import files_for, materialize
 
 BLOCK = 1024
 
 
-def turn_hashes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """key, conv_id, pos (from 0), role, text, p1, p2 (hash of the turns up to and with this one)."""
-    rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
-    ).distinct()
-    rows = rows.select("*", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("key"), F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).alias("block"))
-    sizes = rows.groupBy("key", "block").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("key", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    nth = F.row_number().over(Window.partitionBy("key", "block").orderBy("turn", "role", "text")) - 1
-    rows = rows.withColumn("nth", nth).join(sizes, ["key", "block"]).withColumn("pos", F.col("offset") + F.col("nth"))
-    told = [F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    rows = rows.withColumn("h1", F.xxhash64(*told)).withColumn("h2", F.xxhash64(F.lit(1), *told))
-    running = Window.partitionBy("key", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("x1", F.bit_xor("h1").over(running)).withColumn("x2", F.bit_xor("h2").over(running))
-    totals = rows.groupBy("key", "block").agg(F.bit_xor("h1").alias("t1"), F.bit_xor("h2").alias("t2"))
-    totals = totals.select("key", "block", *(F.coalesce(F.bit_xor(f"t{i}").over(before), F.lit(0)).alias(f"b{i}") for i in (1, 2)))
-    rows = rows.join(totals, ["key", "block"])
-    return rows.select("key", "conv_id", "pos", "role", "text", F.col("x1").bitwiseXOR(F.col("b1")).alias("p1"), F.col("x2").bitwiseXOR(F.col("b2")).alias("p2"))
-
-
-def maximal(hashes: DataFrame) -> DataFrame:
-    """key, n (turns), copies (equal conversations) of the conversations that no longer one begins with."""
-    last = hashes.groupBy("key").agg(F.max(F.struct("pos", "p1", "p2", "conv_id")).alias("l"))
-    whole = last.select("key", (F.col("l.pos") + 1).alias("n"), F.col("l.p1").alias("p1"), F.col("l.p2").alias("p2"), F.struct(F.col("l.conv_id").isNull(), F.col("l.conv_id"), F.col("key")).alias("rank"))
-    single = whole.groupBy("n", "p1", "p2").agg(F.min("rank").alias("rank"), F.count("*").alias("copies")).select("n", "p1", "p2", "copies", F.col("rank.key").alias("key"))
-    # Proper prefixes: a hash at pos that the conversation goes on after.
-    longest = last.select("key", F.col("l.pos").alias("end"))
-    proper = hashes.select("key", "pos", "p1", "p2").join(longest, "key").where(F.col("pos") < F.col("end"))
-    proper = proper.select((F.col("pos") + 1).alias("n"), "p1", "p2").distinct()
-    return single.join(proper, ["n", "p1", "p2"], "left_anti").select("key", "n", "copies")
+def said(conversations: DataFrame) -> DataFrame:
+    """key, conv_id, turn, role, text, c1, c2 (hash of role and text) of each row."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    told = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    return rows.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("key"), "*", F.xxhash64(*told).alias("c1"), F.xxhash64(F.lit(1), *told).alias("c2"))
+
+
+def turns(rows: DataFrame, files: int | None = None) -> DataFrame:
+    """key, conv_id, turn, role, c1, c2, tie of the different rows. tie orders rows that differ in their texts only; their texts are read for it."""
+    place = ["key", "conv_id", "turn", "role"]
+    content = F.struct("c1", "c2")
+    known = materialize(rows.groupBy(*place).agg(F.min(content).alias("low"), F.max(content).alias("high")), "turns", files)
+    single = known.where("low = high").select(*place, "low.c1", "low.c2", F.lit(0).alias("tie"))
+    tied = known.where("low <> high").select(F.col("key").alias("k"), F.col("turn").alias("t"), F.col("role").alias("r"))
+    if tied.isEmpty():
+        return single
+    among = rows.join(tied, (F.col("key") == F.col("k")) & F.col("turn").eqNullSafe(F.col("t")) & F.col("role").eqNullSafe(F.col("r"))).select(*place, "text", "c1", "c2").distinct()
+    tie = F.row_number().over(Window.partitionBy("key", "turn", "role").orderBy("text"))
+    return single.unionByName(among.select(*place, "c1", "c2", tie.alias("tie")))
+
+
+def turn_hashes(rows: DataFrame, block: int = BLOCK, files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, conv_id, turn, c1, c2, pos (from 0), n (turns of the conversation) of the different rows; key, conv_id, pos, n, p1, p2 (hash of the
+    turns up to and with this one))."""
+    told = turns(rows, files).withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
+    whole = Window.partitionBy("key")
+    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = told.groupBy("key", "block").agg(F.count("*").alias("size"))
+    sizes = sizes.select("key", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"), F.sum("size").over(whole).alias("n"))
+    inside = Window.partitionBy("key", "block")
+    nth = F.row_number().over(inside.orderBy("turn", "role", "tie")) - 1
+    placed = told.withColumn("nth", nth).join(sizes, ["key", "block"]).withColumn("pos", F.col("offset") + F.col("nth"))
+    running = inside.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    hashed = [F.bit_xor(F.xxhash64(F.lit(i), "pos", "c1", "c2")).over(running).alias(f"x{i}") for i in (1, 2)]
+    placed = materialize(placed.select("key", "conv_id", "turn", "c1", "c2", "block", "pos", "n", *hashed), "placed", files)
+    totals = placed.groupBy("key", "block").agg(F.max(F.struct("pos", "x1", "x2")).alias("t"))
+    totals = totals.select("key", "block", *(F.bit_xor(f"t.x{i}").over(before).alias(f"b{i}") for i in (1, 2))).where("b1 is not null")
+    prefixes = placed.join(totals, ["key", "block"], "left")
+    prefixes = prefixes.select("key", "conv_id", "pos", "n", *(F.col(f"x{i}").bitwiseXOR(F.coalesce(f"b{i}", F.lit(0))).alias(f"p{i}") for i in (1, 2)))
+    return placed.select("key", "conv_id", "turn", "c1", "c2", "pos", "n"), prefixes
+
+
+def maximal(prefixes: DataFrame) -> DataFrame:
+    """key, copies (equal conversations) of the conversations that no longer one begins with."""
+    length = (F.col("pos") + 1).alias("length")
+    rank = F.struct(F.col("conv_id").isNull(), F.col("conv_id"), F.col("key"))
+    whole = prefixes.where("pos + 1 = n").groupBy(length, "p1", "p2").agg(F.min(rank).alias("rank"), F.count("*").alias("copies"))
+    proper = prefixes.where("pos + 1 < n").select(length, "p1", "p2").distinct()
+    return whole.join(proper, ["length", "p1", "p2"], "left_anti").select(F.col("rank.key").alias("key"), "copies")
 
 
 def collapse_and_render(conversations: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>", block: int = BLOCK) -> DataFrame:
     """conv_id, chunk (from 0), n_turns (of the conversation), copies, text: the maximal conversations, rendered."""
-    hashes = materialize(turn_hashes(conversations, block), "turns")
-    rows = hashes.join(maximal(hashes), "key")
-    said = F.concat(F.lit(start), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(f"{end}\n"))
-    chunks = rows.select("key", "conv_id", "n", "copies", F.floor(F.col("pos") / block).cast("int").alias("chunk"), F.struct("pos", said.alias("said")).alias("s"))
-    out = chunks.groupBy("key", "chunk").agg(F.first("conv_id").alias("conv_id"), F.first("n").alias("n_turns"), F.first("copies").alias("copies"), F.array_sort(F.collect_list("s")).alias("s"))
-    return out.select("conv_id", "chunk", "n_turns", "copies", F.array_join(F.col("s.said"), "").alias("text"))
+    rows = said(conversations)
+    placed, prefixes = turn_hashes(rows, block, files_for(conversations.count()))
+    wanted = placed.join(maximal(prefixes), "key").select("key", F.col("turn").alias("t"), "c1", "c2", "pos", "n", "copies")
+    texts = rows.join(wanted, ["key", "c1", "c2"]).where(F.col("turn").eqNullSafe(F.col("t")))
+    form = F.concat(F.lit(start), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(f"{end}\n"))
+    chunks = texts.select("key", "conv_id", "n", "copies", F.floor(F.col("pos") / block).cast("int").alias("chunk"), F.struct("pos", form.alias("said")).alias("s"))
+    # Equal rows of the input meet in the set.
+    out = chunks.groupBy("key", "conv_id", "n", "copies", "chunk").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    return out.select("conv_id", "chunk", F.col("n").alias("n_turns"), "copies", F.array_join(F.col("s.said"), "").alias("text"))
 
 
 ORACLE_SQL = """
