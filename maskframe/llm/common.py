@@ -44,6 +44,21 @@ def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFram
     return out
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Like materialize, dealt out by key into a bucketed table, so that later joins on key don't shuffle it again. The table lies in the shared
+    folder; its name, which no other has, goes with spent() or the session."""
+    spark = df.sparkSession
+    name = f"maskframe_{label}_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark).rstrip('/')}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", at).option("compression", "zstd").format("parquet").saveAsTable(name)
+    path = _path(spark, at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    out = spark.table(name)
+    out._maskframe_at, out._maskframe_table = at, name
+    return out
+
+
 def _path(spark: SparkSession, at: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
 
@@ -51,8 +66,12 @@ def _path(spark: SparkSession, at: str):
 def spent(*frames: DataFrame) -> None:
     """Deletes the folders of materialised frames that nothing reads any more."""
     for df in frames:
-        path = _path(df.sparkSession, df._maskframe_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        own = vars(df)
+        if "_maskframe_table" in own:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {own['_maskframe_table']}")
+        if "_maskframe_at" in own:
+            path = _path(df.sparkSession, own["_maskframe_at"])
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def files_for(rows: int, each: int = 250_000) -> int:
@@ -60,12 +79,39 @@ def files_for(rows: int, each: int = 250_000) -> int:
     return max(8, -(-rows // each))
 
 
-def steady(df: DataFrame) -> DataFrame:
-    """df if it is a plain scan of files, which gives the same rows in the same places whichever columns are read; else a copy in the
-    shared folder. Operators that read their input more than once tell rows apart by place, so they need this."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    plain = all(re.match(r"[\s:+\-]*(Project|Filter|SubqueryAlias|View|Relation|LocalRelation)\b", line) for line in plan.splitlines())
-    return df if plain else materialize(df, "input")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether each row of df is one row of a Parquet file, whichever way the files are split."""
+    if not hasattr(df, "_jdf"):
+        return False
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and plan.deterministic():
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = plan.relation().location().rootPaths()
+    return plan.relation().fileFormat().toString() == "Parquet" and roots.distinct().size() == roots.size()
+
+
+def placed(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """df with two more columns, and their names: a hash of the file that a row lies in, and its number there. They tell rows apart,
+    and stay the same however often, and in whatever splits, the files are read. What isn't a plain scan of Parquet files is
+    copied to the shared folder first."""
+    df = df if _plain_scan(df) else materialize(df, "input")
+    file, row = fresh(df, "file", "row")
+    meta = df.metadataColumn("_metadata")
+    return df.select("*", F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(row)), file, row
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -13,7 +13,11 @@ Pairs in a bucket are never written out. First each bucket's members are compare
 give components. Buckets that still hold several components then have the pairs across these components compared by the full
 signatures, in blocks of BLOCK members, each pair in its first common bucket only; those whose estimate leaves the
 threshold possible are confirmed on full sets where they stand. Pairs within a component need no more links. So components are those of all
-links between pairs that share a key, less pairs whose 128-symbol estimate lies over SLACK below the threshold (4.5 standard deviations).
+links between pairs that share a key, less pairs whose 128-symbol estimate lies over SLACK below the threshold (7 standard deviations: once
+in 10^11 pairs, a hundred thousandth of what the keys miss).
+
+Signatures and texts are dealt out by row once, into a bucketed table; later steps read it in place, so only what has a candidate partner
+is shuffled again.
 
 Defined results: texts without words have an empty set and are linked with nothing; with fewer than k words the whole sequence
 is one shingle; repeated rows and equal texts are one class; null ids are never a component's smallest id, unless all are null (then
@@ -26,18 +30,19 @@ from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import batches, held, materialize, mix64, shingle_hashes, steady, text_bytes, word_hashes
+from maskframe.llm.common import batches, bucketed, files_for, held, lean, materialize, mix64, placed, shingle_hashes, slices, spent, text_bytes, word_hashes
 from maskframe.llm.graph import components
 
 SYMBOLS, CHUNK = 32, 4
 EXTRA = 96
 #: Members of a bucket that are compared in one go.
 BLOCK = 2048
-#: What an estimate from 128 symbols may lie under the threshold: 4.5 standard deviations at 0.8.
-SLACK = 0.16
+#: What an estimate from 128 symbols may lie under the threshold: 7 standard deviations at 0.8.
+SLACK = 0.25
 
 _A = (mix64(np.arange(1, SYMBOLS + EXTRA + 1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _B = (mix64(np.arange(1001, SYMBOLS + EXTRA + 1001, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -74,29 +79,27 @@ def keys_of(main: np.ndarray) -> np.ndarray:
     return out
 
 
-def sign(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, c1, c2 (128-bit hash of the set), sig, ztext (compressed text) of each row."""
+def sign(docs: DataFrame, k: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, c1, c2 (128-bit hash of the set), sig, ztext (compressed text) and the long columns carry of each row."""
 
     def run(frames):
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=3)
         held(("minhash",), dict)  # drops what an earlier stage has cached
-        for f in frames:
-            rows = [(None if i is None else int(i), text_bytes(t)) for i, t in zip(f["id"].tolist(), f["text"].tolist(), strict=True)]
-            for part in batches(rows, lambda r: len(r[1]), 2_000_000):
-                sets = [shingle_hashes(word_hashes(t)[0], k) for _, t in part]
-                with np.errstate(over="ignore"):
-                    c1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
-                    c2 = [int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
-                sigs = iter(signatures([s for s in sets if len(s)]))
-                out = pd.DataFrame({"doc_id": pd.array([i for i, _ in part], "Int64"), "n": [len(s) for s in sets], "c1": c1, "c2": c2})
-                out["sig"] = [next(sigs) if len(s) else b"" for s in sets]
-                out["ztext"] = [packer.compress(t) if len(s) else b"" for (_, t), s in zip(part, sets, strict=True)]
-                yield out
-
-    narrow = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, n long, c1 long, c2 long, sig binary, ztext binary")
+        for b in slices(frames, "text", 2 << 20):
+            texts = [text_bytes(t) for t in b["text"].to_pylist()]
+            sets = [shingle_hashes(word_hashes(t)[0], k) for t in texts]
+            with np.errstate(over="ignore"):
+                c1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
+                c2 = [int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
+            sigs = iter(signatures([s for s in sets if len(s)]))
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())]
+            columns += [pa.array([next(sigs) if len(s) else b"" for s in sets], pa.binary()), pa.array([packer.compress(t) if len(s) else b"" for t, s in zip(texts, sets, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns, *(b[f"carry{i}"] for i in range(len(carry)))], names=["doc_id", "n", "c1", "c2", "sig", "ztext", *(f"carry{i}" for i in range(len(carry)))])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)))
+    return narrow.mapInArrow(lean(run), "doc_id long, n long, c1 long, c2 long, sig binary, ztext binary" + "".join(f", carry{i} long" for i in range(len(carry))))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -132,27 +135,35 @@ class _Sets:
         return self.have[uid]
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar. texts: uid, sig, ztext."""
-    a = pairs.join(texts.select(F.col("uid").alias("a"), F.col("sig").alias("sa"), F.col("ztext").alias("za")), "a")
-    ab = a.join(texts.select(F.col("uid").alias("b"), F.col("sig").alias("sb"), F.col("ztext").alias("zb")), "b")
+def confirm(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar. texts: uid, sig, ztext.
+
+    The texts of all b travel to their a, in groups of BLOCK on average, so neither a frequent a nor its text is gathered in one task."""
+    sizes = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    dealt = stars.join(sizes, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")), F.lit(0)).cast("int").alias("part"))
+    wanted = dealt.select(F.col("b").alias("uid"), "a", "part", F.lit(1).alias("place")).unionByName(dealt.select(F.col("a").alias("uid"), "a", "part", F.lit(0).alias("place")).distinct())
+    rows = texts.join(wanted, "uid").select("a", "part", "place", "uid", "sig", "ztext").repartition("a", "part").sortWithinPartitions("a", "part", "place")
     least = percent / 100 - SLACK
 
     def run(frames):
-        sets = _Sets(k)
-        for f in frames:
-            if not len(f):
-                continue
-            est = _estimates(f)
-            keep = [e >= least and similar(sets.get(x, zx), sets.get(y, zy), percent) for e, x, y, zx, zy in zip(est, f["a"].tolist(), f["b"].tolist(), f["za"], f["zb"], strict=True)]
-            yield f.loc[np.array(keep, bool), ["a", "b"]]
-
-    return ab.select("a", "b", "sa", "za", "sb", "zb").mapInPandas(run, "a long, b long")
+        import zstandard
 
+        unpacker = zstandard.ZstdDecompressor()
+        full = lambda z: shingle_hashes(word_hashes(unpacker.decompress(z))[0], k)
+        center = None
+        for batch in slices(frames, "ztext", 2 << 20):
+            a, uid, place, z = (batch[c].to_pylist() for c in ("a", "uid", "place", "ztext"))
+            main, extra = unpack(batch["sig"].to_pylist())
+            out = []
+            for i in range(len(a)):
+                if not place[i]:
+                    center, main_a, extra_a = full(z[i]), main[i].copy(), extra[i].copy()
+                elif estimate(main[i], extra[i], main_a, extra_a) >= least and similar(center, full(z[i]), percent):
+                    out.append((a[i], uid[i]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-def _estimates(f: pd.DataFrame) -> np.ndarray:
-    (ma, ea), (mb, eb) = unpack(f["sa"].tolist()), unpack(f["sb"].tolist())
-    return estimate(ma, ea, mb, eb)
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def across(members: pd.DataFrame, percent: int) -> list[tuple[int, np.ndarray]]:
@@ -193,13 +204,13 @@ def _groups(frames):
         yield rest
 
 
-def cross_links(buckets: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Confirmed links (a, b) across components. buckets: key, uid, comp, only keys with several components.
+def cross_links(buckets: DataFrame, texts: DataFrame, k: int, percent: int, files: int | None = None) -> DataFrame:
+    """Confirmed links between components, as pairs (a, b) of these. buckets: key, uid, comp, only keys with several components.
 
     Pairs never become rows. The first pass finds by signatures which members of a bucket have a partner at all; only these get their
     texts, and the second pass compares and confirms pairs inside a bucket's blocks. A block's members that have been linked meanwhile
     aren't compared again."""
-    sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = buckets.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     # A member goes to every pair of blocks that holds its own; with one block that is one row.
     rows = rows.select("key", "uid", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -217,58 +228,68 @@ def cross_links(buckets: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, p
                     places = np.unique(np.concatenate([[i for i, _ in found], *(j for _, j in found)]))
                     yield g.iloc[places][columns]
 
-    some = materialize(dealt(rows.join(sigs, "uid")).select(*columns, "sig").mapInPandas(partnered, "key long, i int, j int, uid long, comp long, half int"), "partnered")
+    some = materialize(dealt(texts.select("uid", "sig").join(rows, "uid")).select(*columns, "sig").mapInPandas(lean(partnered), "key long, i int, j int, uid long, comp long, half int"), "partnered", files)
 
     def confirmed(frames):
         for g in _groups(frames):
             sets = _Sets(k)
-            uid, comp, z = g["uid"].tolist(), g["comp"].to_numpy(np.int64).copy(), g["ztext"].tolist()
+            uid, z = g["uid"].tolist(), g["ztext"].tolist()
+            told = g["comp"].to_numpy(np.int64)
+            comp = told.copy()
             out = []
             for i, later in across(g, percent):
                 for j in later.tolist():
                     if comp[i] != comp[j] and similar(sets.get(uid[i], z[i]), sets.get(uid[j], z[j]), percent):
-                        out.append((uid[i], uid[j]))
+                        out.append((told[i], told[j]))
                         comp[comp == comp[j]] = comp[i]
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    return dealt(some.join(texts, "uid")).select(*columns, "sig", "ztext").mapInPandas(confirmed, "a long, b long")
+    links = dealt(texts.select("uid", "sig", "ztext").join(some, "uid")).select(*columns, "sig", "ztext").mapInPandas(lean(confirmed), "a long, b long")
+    links = materialize(links, "links", files)
+    spent(some)
+    return links
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """uid, doc_id, n, comp for each row of docs: rows with equal comp are linked, directly or by others. uid is the row's place."""
-    signed = materialize(sign(docs, k, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "signed")
-    some = signed.where("n > 0")
+def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """uid, doc_id, n, comp and the long columns carry (as carry0, ...) for each row of docs: rows with equal comp are linked, directly or by
+    others."""
+    texts = bucketed(sign(docs, k, id_col, text_col, carry).withColumn("uid", F.monotonically_increasing_id()), "signed", "uid")
+    files = files_for(texts.count())
+    some = texts.where("n > 0")
     classes = some.groupBy("c1", "c2", "n").agg(F.min("uid").alias("rep"))
-    members = materialize(signed.select("uid", "doc_id", "n", "c1", "c2").join(classes, ["c1", "c2", "n"], "left").select("uid", "doc_id", "n", F.coalesce("rep", "uid").alias("rep")), "members")
+    columns = ["uid", "doc_id", "n", *(f"carry{i}" for i in range(len(carry)))]
+    members = materialize(texts.select(*columns, "c1", "c2").join(classes, ["c1", "c2", "n"], "left").select(*columns, F.coalesce("rep", "uid").alias("rep")), "members", files)
     reps = members.where("n > 0 and uid = rep").select("uid")
-    sigs = materialize(some.select("uid", "sig").join(reps, "uid", "left_semi"), "sigs")
 
     def index(frames):
-        for f in frames:
-            if len(f):
-                keys = keys_of(unpack(f["sig"].tolist())[0])
-                yield pd.DataFrame({"key": keys.ravel(), "uid": np.repeat(f["uid"].to_numpy(np.int64), SYMBOLS)})
+        for b in frames:
+            if b.num_rows:
+                keys = keys_of(unpack(b["sig"].to_pylist())[0])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b["uid"].to_numpy(), SYMBOLS))], names=["key", "uid"])
 
-    table = sigs.mapInPandas(index, "key long, uid long")
+    table = some.select("uid", "sig").join(reps, "uid", "left_semi").mapInArrow(lean(index), "key long, uid long")
     full = table.groupBy("key").agg(F.count("*").alias("size"), F.min("uid").alias("first")).where("size > 1").select("key", "first")
-    shared = materialize(table.join(full, "key"), "shared")
+    shared = materialize(table.join(full, "key"), "shared", files)
     stars = shared.where("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct()
-    texts = some.select("uid", "sig", "ztext")
-    found = materialize(confirm(stars, texts, k, percent), "links")
-    known = components(found)
-    placed = shared.select("key", "uid").join(known.select(F.col("node").alias("uid"), F.col("root").alias("comp")), "uid", "left").select("key", "uid", F.coalesce("comp", "uid").alias("comp"))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    more = materialize(cross_links(placed.join(mixed, "key"), sigs, texts, k, percent), "links")
-    if not more.isEmpty():
-        known = components(found.unionByName(more))
-    return members.join(known.select(F.col("node").alias("rep"), "root"), "rep", "left").select("uid", "doc_id", "n", F.coalesce("root", "rep").alias("comp"))
+    found = materialize(confirm(stars, some, k, percent), "links", files)
+    known = components(found, files)
+    at = shared.select("key", "uid").join(known.select(F.col("node").alias("uid"), F.col("root").alias("comp")), "uid", "left").select("key", "uid", F.coalesce("comp", "uid").alias("comp"))
+    mixed = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    buckets = materialize(at.join(mixed, "key"), "buckets", files)
+    more = cross_links(buckets, some, k, percent, files=files)
+    joined = components(more, files)
+    spent(texts, shared, found, buckets, more)
+    out = members.join(known.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
+    out = out.drop("root").join(joined.select(F.col("node").alias("comp"), "root"), "comp", "left")
+    out = materialize(out.select(*columns, F.coalesce("root", "comp").alias("comp")), "linked", files)
+    spent(members, known, joined)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    rows = materialize(link(docs, k, percent, id_col, text_col), "linked")
+    rows = link(docs, k, percent, id_col, text_col)
     small = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").select("comp", "component_id")
     out = rows.join(small, "comp", "left").withColumn("component_id", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -277,10 +298,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without all but one of each group of linked documents, all columns unchanged. The one that stays has the smallest id
     (nulls last), of equal ids the first in place."""
-    docs = steady(docs)
-    rows = materialize(link(docs, k, percent, id_col, text_col), "linked")
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
-    first = rows.groupBy("comp").agg(F.min(rank).alias("f"), F.count("*").alias("size")).where("size > 1").select("comp", F.col("f.uid").alias("stays"))
-    gone = rows.join(first, "comp").where("uid <> stays").select(F.col("uid").alias("__gone"))
-    placed = docs.withColumn("__uid", F.monotonically_increasing_id())
-    return placed.join(gone, placed["__uid"] == gone["__gone"], "left_anti").select(*(placed[f"`{c}`"] for c in docs.columns))
+    told, file, row = placed(docs)
+    rows = link(told, k, percent, id_col, text_col, (file, row))
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("carry0"), F.col("carry1"))
+    first = rows.groupBy("comp").agg(F.min(rank).alias("stays"), F.count("*").alias("size")).where("size > 1").select("comp", "stays")
+    gone = rows.join(first, "comp").where(rank != F.col("stays")).select("carry0", "carry1")
+    return told.join(gone, (told[file] == gone["carry0"]) & (told[row] == gone["carry1"]), "left_anti").select(*(told[f"`{c}`"] for c in told.columns[:-2]))

@@ -21,10 +21,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import held, materialize, mix64, steady, text_bytes
+from maskframe.llm.common import fresh, held, lean, materialize, mix64, placed, slices, spent, text_bytes
 
 LENGTH = 200
 K = 48
@@ -229,56 +230,57 @@ def repeated_ranges(context: list[bytes], place: np.ndarray, first: np.ndarray,
 # ---- the distributed part -----------------------------------------------------------------------------------------------
 
 
-def _free(spark) -> None:
-    """Shuffle files of finished steps go once the JVM collects what refers to them."""
-    spark.sparkContext._jvm.System.gc()
+ROW = ["file", "row"]
+_IDS = "file long, row long"
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, records: int = 40_000) -> tuple[DataFrame, DataFrame]:
-    """rows: uid, text, told apart by uid. Returns (meta: uid, n_bytes, sha, copies, rep; spans: uid (a representative), low, high)."""
-    spark = rows.sparkSession
-    meta = rows.select("uid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    meta = materialize(meta, "meta")
-    copies = meta.groupBy("sha").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    meta = materialize(meta.join(copies, "sha", "left").select("uid", "n_bytes", "sha", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("rep", "uid").alias("rep")), "meta")
-    others = meta.where("uid <> rep").select("uid")
+    """rows: file, row, text, told apart by the first two. Returns (meta: file, row, n_bytes, sha, copies; spans: file, row (of the first row of
+    each text), low, high)."""
+    own = F.struct(*ROW)
+    told = rows.select(*ROW, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    copies = told.groupBy("sha").agg(F.min(own).alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    meta = materialize(told.join(copies, "sha", "left").select(*ROW, "n_bytes", "sha", F.coalesce("copies", F.lit(1)).alias("copies"), (F.coalesce("rep", own) == own).alias("first")), "meta")
+    others = meta.where("not first").select(*ROW)
 
     def find(frames):
         held(("suffix",), dict)  # drops what an earlier stage has cached
-        for f in frames:
-            out = []
-            for uid, text in zip(f["uid"].tolist(), f["text"].tolist(), strict=True):
-                raw = np.frombuffer(text_bytes(text), np.uint8)
-                if len(raw) >= length:
-                    out.append((uid, anchors(raw, length, k)[0]))
-            yield pd.DataFrame(out, columns=["uid", "keys"])
-
-    found = rows.where(F.octet_length("text") >= length).mapInPandas(find, "uid long, keys array<long>")
-    found = materialize(found.join(others, "uid", "left_anti"), "anchors")
-    keys = found.select("uid", F.explode("keys").alias("key"))
-    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot"))
-    wanted = keys.join(twice, "key").groupBy("uid").agg(F.collect_set(F.when(~F.col("hot"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
-    wanted = materialize(wanted, "wanted")
-    _free(spark)
+        for b in slices(frames, "text"):
+            keys = [anchors(np.frombuffer(text_bytes(t), np.uint8), length, k)[0] for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["file"], b["row"], pa.array(keys, pa.list_(pa.int64()))], names=[*ROW, "keys"])
+
+    found = rows.where(F.octet_length("text") >= length).select(*ROW, "text").mapInArrow(lean(find), f"{_IDS}, keys array<long>")
+    found = materialize(found.join(others, ROW, "left_anti"), "anchors")
+    keys = found.select(*ROW, F.explode("keys").alias("key"))
+    # Written first, so that Spark can split a frequent key in the join.
+    twice = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot")), "twice")
+    wanted = keys.join(twice, "key").groupBy(*ROW).agg(F.collect_set(F.when(~F.col("hot"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
 
     def contexts(frames):
-        for f in frames:
-            out = []
-            for uid, text, some, frequent in zip(f["uid"].tolist(), f["text"].tolist(), f["keys"], f["hot_keys"], strict=True):
+        for b in slices(frames, "text"):
+            out, of = [], []
+            for i, (text, some, frequent) in enumerate(zip(*(b[c].to_pylist() for c in ("text", "keys", "hot_keys")), strict=True)):
                 data = text_bytes(text)
                 key, place, first, last = anchors(np.frombuffer(data, np.uint8), length, k)
                 is_hot = np.isin(key, np.asarray(frequent, np.int64))
                 at = np.flatnonzero(is_hot | np.isin(key, np.asarray(some, np.int64)))
                 for x, p, s, e, h in zip(key[at].tolist(), place[at].tolist(), first[at].tolist(), last[at].tolist(), is_hot[at].tolist(), strict=True):
-                    out.append((x, uid, s, p - s, data[s : e + length], h))
-                    if len(out) >= 20_000:
-                        yield pd.DataFrame(out, columns=["key", "uid", "first", "place", "context", "hot"])
-                        out = []
-            yield pd.DataFrame(out, columns=["key", "uid", "first", "place", "context", "hot"])
-
-    around = rows.join(wanted, "uid").select("uid", "text", "keys", "hot_keys").mapInPandas(contexts, "key long, uid long, first long, place int, context binary, hot boolean")
+                    out.append((x, s, p - s, data[s : e + length], h))
+                    of.append(i)
+                    if len(out) >= 10_000:
+                        yield batch(b, out, of)
+                        out, of = [], []
+            if out:
+                yield batch(b, out, of)
+
+    def batch(b, out, of):
+        of = pa.array(of)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([b["file"].take(of), b["row"].take(of), *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True))], names=[*ROW, "key", "first", "place", "context", "hot"])
+
+    around = rows.join(wanted, ROW).select(*ROW, "text", "keys", "hot_keys").mapInArrow(lean(contexts), f"{_IDS}, key long, first long, place int, context binary, hot boolean")
     around = materialize(around, "contexts")
-    _free(spark)
+    spent(found, twice)
 
     def compare(frames):
         rest = None
@@ -296,16 +298,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     def ranges(f):
         if len(f):
             low, high = repeated_ranges(f["context"].tolist(), f["place"].to_numpy(np.int64), f["first"].to_numpy(np.int64), length, k)
-            out = pd.DataFrame({"uid": f["uid"].to_numpy(), "low": low, "high": high})
+            out = pd.DataFrame({"file": f["file"].to_numpy(), "row": f["row"].to_numpy(), "low": low, "high": high})
             yield out[out["high"] > 0]
 
-    plain = around.where("not hot").select("key", "uid", "first", "place", "context").repartition("key").sortWithinPartitions("key")
-    spans = plain.mapInPandas(compare, "uid long, low long, high long")
+    plain = around.where("not hot").select(*ROW, "key", "first", "place", "context").repartition("key").sortWithinPartitions("key")
+    spans = plain.mapInPandas(lean(compare), f"{_IDS}, low long, high long")
     frequent = around.where("hot")
     if not frequent.isEmpty():
         spans = spans.unionByName(_hot_spans(frequent, length))
     spans = materialize(spans, "spans")
-    _free(spark)
+    spent(around)
     return meta, spans
 
 
@@ -314,16 +316,22 @@ def _hot_spans(records: DataFrame, length: int) -> DataFrame:
     are, so no task gathers a piece's occurrences."""
 
     def windows(frames):
-        for f in frames:
-            for uid, first, context in zip(f["uid"].tolist(), f["first"].tolist(), f["context"].tolist(), strict=True):
-                raw = np.frombuffer(context, np.uint8)
-                a = rolling(raw, length).view(np.int64)
-                b = rolling(raw[::-1], length)[::-1].view(np.int64)
-                yield pd.DataFrame({"a": a, "b": b, "uid": uid, "low": first + np.arange(len(a))})
-
-    all_ = materialize(records.select("uid", "first", "context").mapInPandas(windows, "a long, b long, uid long, low long"), "windows")
-    twice = all_.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    return all_.join(twice, ["a", "b"]).groupBy("uid", F.floor(F.col("low") / length).alias("part")).agg(F.sort_array(F.collect_set("low")).alias("lows")).select("uid", F.explode("lows").alias("low")).select("uid", "low", (F.col("low") + length).alias("high"))
+        for b in slices(frames, "context"):
+            raws = [np.frombuffer(c, np.uint8) for c in b["context"].to_pylist()]
+            raw = np.concatenate(raws)
+            size = np.fromiter(map(len, raws), np.int64, len(raws))
+            begin = np.cumsum(size) - size
+            count = size - length + 1
+            start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(begin, count) + start
+            a = rolling(raw, length)[at].view(np.int64)
+            c = rolling(raw[::-1].copy(), length)[::-1][at].view(np.int64)
+            of = pa.array(np.repeat(np.arange(len(raws)), count))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), b["file"].take(of), b["row"].take(of), pa.array(np.repeat(b["first"].to_numpy(), count) + start)], names=["a", "b", *ROW, "low"])
+
+    all_ = materialize(records.select(*ROW, "first", "context").mapInArrow(lean(windows), f"a long, b long, {_IDS}, low long"), "windows")
+    twice = materialize(all_.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "twice")
+    return all_.join(twice, ["a", "b"]).groupBy(*ROW, F.floor(F.col("low") / length).alias("part")).agg(F.sort_array(F.collect_set("low")).alias("lows")).select(*ROW, F.explode("lows").alias("low")).select(*ROW, "low", (F.col("low") + length).alias("high"))
 
 
 def merge(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,23 +369,25 @@ def whole_points(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    rows = steady(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("uid", F.monotonically_increasing_id())
-    meta, spans = repeated_spans(rows.select("uid", "text"), length, k, hot)
+    told, file, row = placed(docs)
+    rows = told.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(file).alias("file"), F.col(row).alias("row"))
+    meta, spans = repeated_spans(rows.select(*ROW, "text"), length, k, hot)
     # Of texts that occur once, only those with a span are needed again.
-    lists = spans.groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("spans")).join(meta.where("copies = 1").select("uid"), "uid", "left_semi")
+    lists = spans.groupBy(*ROW).agg(F.collect_list(F.struct("low", "high")).alias("spans")).join(meta.where("copies = 1").select(*ROW), ROW, "left_semi")
 
     def cut(frames):
-        for f in frames:
+        for b in slices(frames, "text"):
             out = []
-            for uid, text, some in zip(f["uid"].tolist(), f["text"].tolist(), f["spans"], strict=True):
+            for text, some in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
                 data = text_bytes(text)
                 low, high = merge(np.array([x["low"] for x in some], np.int64), np.array([x["high"] for x in some], np.int64))
-                out.append((uid, int((high - low).sum()), len(low), hashlib.sha256(kept_bytes(data, low, high)).hexdigest()))
-            yield pd.DataFrame(out, columns=["uid", "removed", "runs", "left_sha"])
+                out.append((int((high - low).sum()), len(low), hashlib.sha256(kept_bytes(data, low, high)).hexdigest()))
+            kinds = [pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b["file"], b["row"], *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True))], names=[*ROW, "removed", "runs", "left_sha"])
 
-    changed = rows.join(lists, "uid").select("uid", "text", "spans").mapInPandas(cut, "uid long, removed long, runs long, left_sha string")
+    changed = rows.join(lists, ROW).select(*ROW, "text", "spans").mapInArrow(lean(cut), f"{_IDS}, removed long, runs long, left_sha string")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    out = rows.select("uid", "doc_id").join(meta, "uid").join(changed, "uid", "left")
+    out = rows.select(*ROW, "doc_id").join(meta, ROW).join(changed, ROW, "left")
     return out.select(
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
@@ -387,21 +397,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """docs with repeated spans cut out of their texts, narrowed to whole code points, and chars_col (if there) counted anew. A null text stays
     null."""
-    docs = steady(docs)
-    placed = docs.withColumn("__uid", F.monotonically_increasing_id())
-    rows = placed.select(F.col("__uid").alias("uid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    told, file, row = placed(docs)
+    rows = told.select(F.col(file).alias("file"), F.col(row).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     meta, spans = repeated_spans(rows, length, k, hot)
-    whole = meta.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(F.col("uid").alias("__at"), F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_bytes").alias("high"))).alias("__spans"))
-    lists = spans.groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("__spans")).join(meta.where("copies = 1").select("uid"), "uid", "left_semi").select(F.col("uid").alias("__at"), "__spans")
-    joined = placed.join(lists.unionByName(whole), F.col("__uid") == F.col("__at"), "left").select(*(placed[f"`{c}`"] for c in docs.columns), "__spans")
+    (named,) = fresh(docs, "spans")
+    whole = meta.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(*ROW, F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_bytes").alias("high"))).alias(named))
+    lists = spans.groupBy(*ROW).agg(F.collect_list(F.struct("low", "high")).alias(named)).join(meta.where("copies = 1").select(*ROW), ROW, "left_semi")
+    cuts = lists.unionByName(whole)
+    joined = told.join(cuts, (told[file] == cuts["file"]) & (told[row] == cuts["row"]), "left").select(*(told[f"`{c}`"] for c in docs.columns), cuts[named])
 
     def cut(batches):
-        import pyarrow as pa
-
-        for b in batches:
+        for b in slices(batches, text_col):
             names = b.schema.names
             texts = b.column(text_col).to_pylist()
-            for i, some in enumerate(b.column("__spans").to_pylist()):
+            for i, some in enumerate(b.column(named).to_pylist()):
                 if some and texts[i] is not None:
                     data = text_bytes(texts[i])
                     low, high = merge(np.array([x["low"] for x in some], np.int64), np.array([x["high"] for x in some], np.int64))
@@ -414,4 +423,4 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", l
                 columns[c] = pa.array([n if t is None else len(t) for t, n in zip(texts, columns[c].to_pylist(), strict=True)], columns[c].type)
             yield pa.RecordBatch.from_arrays(columns, names=names[:-1])
 
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(lean(cut), docs.schema)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import materialize, steady
+from maskframe.llm.common import materialize, placed
 
 #: The header fields of the two ARC versions, as their version blocks list them.
 ARC_FIELDS = {
@@ -186,8 +186,8 @@ def write_archives(pages: DataFrame, key_col: str = "page_id", url_col: str = "u
     """Writes pages as ARC records, converts them to WARC, and stores the archives: name, segment, data (gzip members).
 
     Rows are told apart by their place in the table's files, so null and repeated keys are safe."""
-    rows = steady(pages).select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    told, file, row = placed(pages)
+    rows = told.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"), F.concat_ws("-", F.col(file), F.col(row)).alias("uid"))
     narrow = rows.select("uid", "key", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("size"))
     revisits = materialize(first_rows(narrow, least), "revisits")
     joined = rows.join(revisits, "uid", "left").select("uid", F.col("key").cast("string").alias("key"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"), F.col("refers_uid").cast("string").alias("refers_uid"))

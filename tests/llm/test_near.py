@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from maskframe.llm import graph, minhash, simhash
+from maskframe.llm.common import placed
 from maskframe.llm.common import shingle_hashes, word_hashes
 
 from .conftest import prose
@@ -68,17 +69,36 @@ def test_near_duplicates_against_brute_force(spark, odd_docs, no_docs):
 
 
 def test_small_blocks_and_keep_one(spark, odd_docs, monkeypatch):
-    monkeypatch.setattr(minhash.cross_links, "__defaults__", (3,))
+    monkeypatch.setattr(minhash, "BLOCK", 3)
     base = prose(7, 200)
     rows = [(i, edited(i, base, 1 + i % 9)) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = sorted((tuple(r) for r in minhash.near_duplicates(docs, k=4).collect()), key=str)
     assert got == brute(rows, 4)
+    odd = odd_docs.coalesce(1).selectExpr("*", "1 AS file", "2 AS `_row`", "3 AS __uid", "array(4) AS _metadata")
+    again = minhash.keep_one(odd)
+    assert again.columns == odd.columns and all(tuple(r)[-4:] == (1, 2, 3, [4]) for r in again.collect())
     kept = minhash.keep_one(odd_docs.coalesce(1))
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 4, 5, 6, 7, 8, None, 9, 10], key=str)
 
 
+def test_rows_keep_their_places_in_other_splits(spark, tmp_path):
+    """Two reads of the same files that are split differently, as after a change of executors, agree on every row's place."""
+    at = str(tmp_path / "docs")
+    spark.range(5000).selectExpr("id", "repeat(md5(cast(id AS string)), 20) AS text").write.option("parquet.block.size", 64 << 10).parquet(at)
+    reads = []
+    for size in ("128m", "16k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df, file, row = placed(spark.read.parquet(at))
+        reads.append((df.rdd.getNumPartitions(), {r["id"]: (r[file], r[row]) for r in df.collect()}))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert reads[0][0] < reads[1][0] and reads[0][1] == reads[1][1] and len(set(reads[0][1].values())) == 5000
+    joined = spark.range(3).crossJoin(spark.read.parquet(at).limit(2))
+    df, file, row = placed(joined.select("text"))
+    assert df.select(file, row).distinct().count() == 6
+
+
 def test_index_guarantee():
     r = np.random.default_rng(3)
     a = r.integers(0, 1 << 16, (200, 32)).astype("<u2")
