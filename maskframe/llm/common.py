@@ -79,6 +79,11 @@ def files_for(rows: int, each: int = 250_000) -> int:
     return max(8, -(-rows // each))
 
 
+def split_like(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, which holds no more than source, in no more partitions than the files of source are read in."""
+    return df.coalesce(max(8, source.rdd.getNumPartitions()))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with so many underscores before it that no column of df has it."""
     taken = {c.lower() for c in df.columns}

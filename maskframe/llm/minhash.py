@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import batches, bucketed, files_for, held, lean, materialize, mix64, placed, shingle_hashes, slices, spent, text_bytes, word_hashes
+from maskframe.llm.common import batches, bucketed, files_for, held, lean, materialize, mix64, placed, shingle_hashes, slices, spent, split_like, text_bytes, word_hashes
 from maskframe.llm.graph import components
 
 SYMBOLS, CHUNK = 32, 4
@@ -255,7 +255,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     """uid, doc_id, n, comp and the long columns carry (as carry0, ...) for each row of docs: rows with equal comp are linked, directly or by
     others."""
     texts = bucketed(sign(docs, k, id_col, text_col, carry).withColumn("uid", F.monotonically_increasing_id()), "signed", "uid")
-    files = files_for(texts.count())
+    n = texts.count()
+    files, heavy = files_for(n), files_for(n, 8_000)  # heavy: what carries texts or compares them
     some = texts.where("n > 0")
     classes = some.groupBy("c1", "c2", "n").agg(F.min("uid").alias("rep"))
     columns = ["uid", "doc_id", "n", *(f"carry{i}" for i in range(len(carry)))]
@@ -272,12 +273,12 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     full = table.groupBy("key").agg(F.count("*").alias("size"), F.min("uid").alias("first")).where("size > 1").select("key", "first")
     shared = materialize(table.join(full, "key"), "shared", files)
     stars = shared.where("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct()
-    found = materialize(confirm(stars, some, k, percent), "links", files)
+    found = materialize(confirm(stars, some, k, percent), "links", heavy)
     known = components(found, files)
     at = shared.select("key", "uid").join(known.select(F.col("node").alias("uid"), F.col("root").alias("comp")), "uid", "left").select("key", "uid", F.coalesce("comp", "uid").alias("comp"))
     mixed = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     buckets = materialize(at.join(mixed, "key"), "buckets", files)
-    more = cross_links(buckets, some, k, percent, files=files)
+    more = cross_links(buckets, some, k, percent, heavy)
     joined = components(more, files)
     spent(texts, shared, found, buckets, more)
     out = members.join(known.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
@@ -303,4 +304,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("carry0"), F.col("carry1"))
     first = rows.groupBy("comp").agg(F.min(rank).alias("stays"), F.count("*").alias("size")).where("size > 1").select("comp", "stays")
     gone = rows.join(first, "comp").where(rank != F.col("stays")).select("carry0", "carry1")
-    return told.join(gone, (told[file] == gone["carry0"]) & (told[row] == gone["carry1"]), "left_anti").select(*(told[f"`{c}`"] for c in told.columns[:-2]))
+    stay = told.join(gone, (told[file] == gone["carry0"]) & (told[row] == gone["carry1"]), "left_anti")
+    return split_like(stay.select(*(told[f"`{c}`"] for c in told.columns[:-2])), told)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import fresh, held, lean, materialize, mix64, placed, slices, spent, text_bytes
+from maskframe.llm.common import files_for, fresh, held, lean, materialize, mix64, placed, slices, spent, split_like, text_bytes
 
 LENGTH = 200
 K = 48
@@ -237,10 +237,12 @@ _IDS = "file long, row long"
 def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, records: int = 40_000) -> tuple[DataFrame, DataFrame]:
     """rows: file, row, text, told apart by the first two. Returns (meta: file, row, n_bytes, sha, copies; spans: file, row (of the first row of
     each text), low, high)."""
+    n = rows.count()
+    files, heavy = files_for(n), files_for(n, 8_000)  # heavy: what carries bytes of texts
     own = F.struct(*ROW)
     told = rows.select(*ROW, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     copies = told.groupBy("sha").agg(F.min(own).alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    meta = materialize(told.join(copies, "sha", "left").select(*ROW, "n_bytes", "sha", F.coalesce("copies", F.lit(1)).alias("copies"), (F.coalesce("rep", own) == own).alias("first")), "meta")
+    meta = materialize(told.join(copies, "sha", "left").select(*ROW, "n_bytes", "sha", F.coalesce("copies", F.lit(1)).alias("copies"), (F.coalesce("rep", own) == own).alias("first")), "meta", files)
     others = meta.where("not first").select(*ROW)
 
     def find(frames):
@@ -250,10 +252,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, hot: int =
             yield pa.RecordBatch.from_arrays([b["file"], b["row"], pa.array(keys, pa.list_(pa.int64()))], names=[*ROW, "keys"])
 
     found = rows.where(F.octet_length("text") >= length).select(*ROW, "text").mapInArrow(lean(find), f"{_IDS}, keys array<long>")
-    found = materialize(found.join(others, ROW, "left_anti"), "anchors")
+    found = materialize(found.join(others, ROW, "left_anti"), "anchors", heavy)
     keys = found.select(*ROW, F.explode("keys").alias("key"))
     # Written first, so that Spark can split a frequent key in the join.
-    twice = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot")), "twice")
+    twice = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot")), "twice", heavy)
     wanted = keys.join(twice, "key").groupBy(*ROW).agg(F.collect_set(F.when(~F.col("hot"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
 
     def contexts(frames):
@@ -279,7 +281,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, hot: int =
         return pa.RecordBatch.from_arrays([b["file"].take(of), b["row"].take(of), *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True))], names=[*ROW, "key", "first", "place", "context", "hot"])
 
     around = rows.join(wanted, ROW).select(*ROW, "text", "keys", "hot_keys").mapInArrow(lean(contexts), f"{_IDS}, key long, first long, place int, context binary, hot boolean")
-    around = materialize(around, "contexts")
+    around = materialize(around, "contexts", heavy)
     spent(found, twice)
 
     def compare(frames):
@@ -305,13 +307,13 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     spans = plain.mapInPandas(lean(compare), f"{_IDS}, low long, high long")
     frequent = around.where("hot")
     if not frequent.isEmpty():
-        spans = spans.unionByName(_hot_spans(frequent, length))
-    spans = materialize(spans, "spans")
+        spans = spans.unionByName(_hot_spans(frequent, length, heavy))
+    spans = materialize(spans, "spans", heavy)
     spent(around)
     return meta, spans
 
 
-def _hot_spans(records: DataFrame, length: int) -> DataFrame:
+def _hot_spans(records: DataFrame, length: int, files: int | None = None) -> DataFrame:
     """Ranges of repeated windows of frequent anchors: windows are counted by 128-bit hashes, which partial aggregation sums up where they
     are, so no task gathers a piece's occurrences."""
 
@@ -329,8 +331,8 @@ def _hot_spans(records: DataFrame, length: int) -> DataFrame:
             of = pa.array(np.repeat(np.arange(len(raws)), count))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), b["file"].take(of), b["row"].take(of), pa.array(np.repeat(b["first"].to_numpy(), count) + start)], names=["a", "b", *ROW, "low"])
 
-    all_ = materialize(records.select(*ROW, "first", "context").mapInArrow(lean(windows), f"a long, b long, {_IDS}, low long"), "windows")
-    twice = materialize(all_.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "twice")
+    all_ = materialize(records.select(*ROW, "first", "context").mapInArrow(lean(windows), f"a long, b long, {_IDS}, low long"), "windows", files)
+    twice = materialize(all_.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "twice", files)
     return all_.join(twice, ["a", "b"]).groupBy(*ROW, F.floor(F.col("low") / length).alias("part")).agg(F.sort_array(F.collect_set("low")).alias("lows")).select(*ROW, F.explode("lows").alias("low")).select(*ROW, "low", (F.col("low") + length).alias("high"))
 
 
@@ -387,7 +389,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     changed = rows.join(lists, ROW).select(*ROW, "text", "spans").mapInArrow(lean(cut), f"{_IDS}, removed long, runs long, left_sha string")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    out = rows.select(*ROW, "doc_id").join(meta, ROW).join(changed, ROW, "left")
+    out = split_like(rows.select(*ROW, "doc_id").join(meta, ROW).join(changed, ROW, "left"), told)
     return out.select(
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
@@ -405,6 +407,7 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", l
     lists = spans.groupBy(*ROW).agg(F.collect_list(F.struct("low", "high")).alias(named)).join(meta.where("copies = 1").select(*ROW), ROW, "left_semi")
     cuts = lists.unionByName(whole)
     joined = told.join(cuts, (told[file] == cuts["file"]) & (told[row] == cuts["row"]), "left").select(*(told[f"`{c}`"] for c in docs.columns), cuts[named])
+    joined = split_like(joined, told)
 
     def cut(batches):
         for b in slices(batches, text_col):

@@ -6,7 +6,7 @@ and exception phrases: word pairs around a stem that mostly occur in rows labell
 matched weight, normalised by a slowly growing function of the text's length.
 
 Learning reads a bounded sample of labelled rows with their whole texts (SAMPLE_ROWS rows of SAMPLE_CHARS characters together; all rows
-when fewer), the only bounds here. Scoring reads every whole text. Defined results: a null or empty text scores as a text without a match; null labels are never learnt
+when fewer). These are the only bounds: every stem and exception that stands out in the sample is used. Scoring reads every whole text. Defined results: a null or empty text scores as a text without a match; null labels are never learnt
 from; without any labelled row all texts score the base rate 0; repeated rows give repeated results; extra columns never matter.
 """
 
@@ -17,18 +17,20 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import held
+from maskframe.llm.common import held, lean, slices
 
 #: Labelled rows that the lexicon is fitted on at most, chosen by a hash of doc_id.
 SAMPLE_ROWS = 12_000
-#: Characters that the sample's texts have together at most: rows are taken in the order of the hash, whole, while they fit in what is left.
+#: Characters that the sample's texts have together at most: rows are taken in the order of the hash, whole, up to the first
+#: that doesn't fit in what is left. A text that is longer than that by itself is never taken.
 SAMPLE_CHARS = 40_000_000
 STEM_MIN, STEM_MAX = 4, 9
 
@@ -116,31 +118,32 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, value))))
 
 
-def fit(rows: list[tuple[str, int]]) -> Lexicon:
+def fit(rows: Iterable[tuple[str, int]]) -> Lexicon:
     """Learns from (text, label). Stems are the word beginnings whose document log-odds are high and that no shorter accepted
     stem explains; weights are those log-odds."""
-    if not rows:
+    # Folded texts are split anew whenever they are read, as lists of their words would take many times their size.
+    folded = [(fold(t), y) for t, y in rows]
+    if not folded:
         return Lexicon(bias=-30.0)
     # Document frequencies of word beginnings; rows labelled 1 are read first so that only their words are counted at all.
-    folded = [(fold(t).split(), y) for t, y in rows]
     n1 = sum(y for _, y in folded)
     n0 = len(folded) - n1
     if not n1 or not n0:
         return Lexicon(bias=30.0 if n1 else -30.0)
 
-    def beginnings(words):
-        return {w[:k] for w in set(words) for k in range(min(STEM_MIN, len(w)), min(STEM_MAX, len(w)) + 1) if len(w) >= 3}
+    def beginnings(text):
+        return {w[:k] for w in set(text.split()) for k in range(min(STEM_MIN, len(w)), min(STEM_MAX, len(w)) + 1) if len(w) >= 3}
 
     pos: Counter = Counter()
-    for words, y in folded:
+    for text, y in folded:
         if y:
-            pos.update(beginnings(words))
+            pos.update(beginnings(text))
     floor = 1 if n1 < 30 else 3 + n1 // 300
     wanted = {s for s, n in pos.items() if n >= floor}
     neg: Counter = Counter()
-    for words, y in folded:
+    for text, y in folded:
         if not y:
-            neg.update(beginnings(words) & wanted)
+            neg.update(beginnings(text) & wanted)
     odds = {s: math.log((pos[s] + 0.3) / (n1 + 0.6)) - math.log((neg[s] + 0.3) / (n0 + 0.6)) for s in wanted}
     # A stem must stand out: its rows labelled 1 exceed what its share of all rows explains by several standard deviations.
     def stands_out(s: str) -> bool:
@@ -157,8 +160,8 @@ def fit(rows: list[tuple[str, int]]) -> Lexicon:
     # Exceptions: a pair of words around a stem that occurs in rows labelled 0 and hardly in others.
     stems = set(chosen)
     around = defaultdict(lambda: [0, 0])
-    for words, y in folded:
-        pairs = set()
+    for text, y in folded:
+        pairs, words = set(), text.split()
         for i, w in enumerate(words):
             if any(w[:k] in stems for k in range(3, min(STEM_MAX, len(w)) + 1)):
                 pairs |= {" ".join(words[max(0, i - 1) : i + 1]), " ".join(words[i : i + 2])}
@@ -168,7 +171,7 @@ def fit(rows: list[tuple[str, int]]) -> Lexicon:
     lex = Lexicon(stems=chosen, exceptions=exceptions)
     # Two parameters of the logistic function, by Newton steps with a small ridge.
     scorer = Scorer(lex)
-    x = np.array([scorer.matched(f" {' '.join(w)} ") / (1 + math.log1p((sum(map(len, w)) + len(w) + 1) / lex.tau)) for w, _ in folded])
+    x = np.array([scorer.matched(t) / (1 + math.log1p(len(t) / lex.tau)) for t, _ in folded])
     y = np.array([y for _, y in folded], float)
     a, b = 1.0, -3.0
     for _ in range(300):
@@ -199,16 +202,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The sample is bounded by sample_rows, so it may be broadcast.
     sizes = texts.select("__id", F.length("__t").alias("n")).join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.max("n").alias("n"))
     taken, left = [], sample_chars
-    for r in sizes.orderBy(F.xxhash64("__id"), "__id").collect():
-        if r["n"] <= left:
-            taken.append((r["__id"], r["__y"]))
-            left -= r["n"]
+    # The sample ends at the first row that doesn't fit in any more: going on with shorter ones would favour these.
+    for r in sizes.where(F.col("n") <= sample_chars).orderBy(F.xxhash64("__id"), "__id").collect():
+        if r["n"] > left:
+            break
+        taken.append((r["__id"], r["__y"]))
+        left -= r["n"]
     if not taken:
         return fit([])
     picked = docs.sparkSession.createDataFrame(taken, "__id long, __y int")
     got = texts.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t"))
-    rows: list[tuple[str, int]] = [(r["__t"], r["__y"]) for r in got.orderBy("__id").toLocalIterator()]
-    return fit(rows)
+    return fit((r["__t"], r["__y"]) for r in got.orderBy("__id").toLocalIterator())
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -228,16 +232,16 @@ def _key(lexicon: Lexicon) -> int:
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, score, predicted for each row of docs. The lexicon, bounded by the sample it was learnt from, travels with the task."""
-    narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out_column(id_col), F.lit(False)).alias("held_out"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out_column(id_col), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     key = _key(lexicon)
 
     def run(frames):
         scorer = _scorer(key, lexicon)
-        for f in frames:
-            s = np.array([scorer.score(t) for t in f["text"]], float)
-            yield pd.DataFrame({id_col: f[id_col], "held_out": f["held_out"], "score": s, "predicted": (s >= 0.5).astype("int32")})
+        for b in slices(frames, "text"):
+            s = np.array([scorer.score(t) for t in b["text"].to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([b["id"], b["held_out"], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
-    return narrow.mapInPandas(run, f"{id_col} long, held_out boolean, score double, predicted int")
+    return narrow.mapInArrow(lean(run), f"{id_col} long, held_out boolean, score double, predicted int")
 
 
 def keep(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
@@ -245,10 +249,8 @@ def keep(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame
     key = _key(lexicon)
 
     def run(batches):
-        import pyarrow as pa
-
         scorer = _scorer(key, lexicon)
-        for b in batches:
+        for b in slices(batches, text_col):
             yield b.filter(pa.array([scorer.score(t) < 0.5 for t in b.column(text_col).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
