@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import chain
+from itertools import chain, islice
 
 from maskframe.llm.common import held
 
-#: Parts held in each of a worker's two caches; one that is full is emptied. 300k parts are about 70 MB, and few words lack a space.
-CACHE_PARTS = 300_000
+#: Parts held in a worker's cache: up to so many new ones, and as many that were new before. 300k parts are about 70 MB.
+CACHE_PARTS = 600_000
 
 _AFTER_SPACE = re.compile(r"\s ")
 _ASCII_PAIRS = [c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
@@ -47,22 +47,24 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Parts(dict):
-    """Ids by part, found when first asked for."""
+    """Ids by part, found when first asked for. When it is full it starts anew, and what is asked for again is taken over from before, so
+    frequent parts stay."""
 
-    def __init__(self, find):
-        self.find = find
+    def __init__(self, find, limit: int):
+        self.find, self.limit, self.before = find, limit, {}
 
     def __missing__(self, part: str) -> bytes:
-        got = self.find(part)
+        got = self.before.pop(part, None) or self.find(part)
         if len(part) <= _LONG_PART:
-            if len(self) >= CACHE_PARTS:
+            if len(self) >= self.limit:
+                self.before = dict(self)
                 self.clear()
             self[part] = got
         return got
 
 
 class CachedBPE:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -71,8 +73,8 @@ class CachedBPE:
         self.letters = _byte_letters()
         self.space = self.letters[32]
         self.line = self._word("", "\n")
-        self.bare = _Parts(lambda word: self._word("", word))  # pre-tokens without a space before them
-        self.cache = _Parts(self._part)  # parts after a space
+        self.bare = _Parts(lambda word: self._word("", word), cache_parts // 10)  # pre-tokens without a space before them, which are few
+        self.cache = _Parts(self._part, cache_parts)  # parts after a space
 
     def _word(self, space: str, word: str) -> bytes:
         """The ids of one pre-token: letters or signs, with at most one space before them."""
@@ -85,6 +87,8 @@ class CachedBPE:
         all others go through the whole tokeniser."""
         if len(part) <= _LONG_PART:
             if part.isalpha():
+                if space and part.isascii():
+                    return array("I", [t.id for t in self.tokenize(self.space + part)]).tobytes()
                 return self._word(space, part)
             found = []
             for i, line in enumerate(part.split("\n")):
@@ -111,8 +115,9 @@ class CachedBPE:
         for s in self.special:
             if s in text:
                 return self._whole(text)
-        first, *rest = parts_of(text)
-        return b"".join(chain((self._part(first, ""),) if first else (), map(self.cache.__getitem__, rest)))
+        parts = parts_of(text)
+        first = self._part(parts[0], "") if parts[0] else b""
+        return b"".join(chain((first,), map(self.cache.__getitem__, islice(parts, 1, None))))
 
 
 def _clean(text: str) -> str:
@@ -124,5 +129,5 @@ def _clean(text: str) -> str:
     return text
 
 
-def bpe(path: str) -> CachedBPE:
-    return held(("bpe", path), lambda: CachedBPE(path))
+def bpe(path: str, cache_parts: int = CACHE_PARTS) -> CachedBPE:
+    return held(("bpe", path, cache_parts), lambda: CachedBPE(path, cache_parts))

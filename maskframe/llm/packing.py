@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskframe.llm.bpe import CACHE_PARTS, bpe
 from maskframe.llm.common import lean, materialize, slices
 
 ITERATIONS = 400
@@ -161,15 +162,13 @@ def cut(n: int, max_len: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, max_len) for s in range(first, n, max_len))]
 
 
-def pieces(docs: DataFrame, path: str, max_len: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, path: str, max_len: int, end_id: int, id_col: str, text_col: str, cache_parts: int) -> DataFrame:
     """One row for each piece: id_col, piece, start, length, ids_crc32."""
     end = array("I", [end_id]).tobytes()
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(frames):
-        from maskframe.llm.bpe import bpe
-
-        coder = bpe(path)
+        coder = bpe(path, cache_parts)
         for b in slices(frames, "text"):
             rows, of = [], []
             for doc, text in enumerate(b["text"].to_pylist()):
@@ -185,10 +184,10 @@ def pieces(docs: DataFrame, path: str, max_len: int, end_id: int, id_col: str, t
     return narrow.mapInArrow(lean(run), f"{id_col} long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every piece with its sequence_id and offset."""
+def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_parts: int = CACHE_PARTS) -> DataFrame:
+    """Every piece with its sequence_id and offset. cache_parts bounds a worker's cache of tokenised words; it changes no result."""
     cols = [id_col, "piece", "start", "length", "ids_crc32"]
-    all_ = materialize(pieces(docs, path, max_len, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    all_ = materialize(pieces(docs, path, max_len, end_id, id_col, text_col, cache_parts).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in all_.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
     hist = np.zeros(max_len + 1, np.int64)
     for length, n in counts.items():
