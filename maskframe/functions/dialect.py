@@ -121,3 +121,8 @@ def byte(h: str, i) -> str:
 def draw(q: Spark, value: str, *place: str) -> str:
     """A number from 0 to 255 that depends on the value and the place only."""
     return byte(q.sha(f"concat({value}, {', '.join(f"'|', cast({p} as string)" for p in place)})"), 0)
+
+
+def digest(q: Spark, value: str, place: str) -> str:
+    """A hex digest that depends on the value and the place only; one gives 32 draws."""
+    return q.sha(f"concat({value}, '|', cast({place} as string))")

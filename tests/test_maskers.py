@@ -1,5 +1,6 @@
 """Golden vectors and invariants of the maskers, and agreement with SQL in another engine."""
 
+import random
 import re
 
 import duckdb
@@ -8,6 +9,8 @@ import pytest
 from maskframe.functions import maskers
 from maskframe.functions.dialect import DUCK
 
+from . import plain
+
 PHONES = {"+1 (425) 555-0174": "+1 (423) 346-9221", "+7 (495) 123-45-67": "+7 (494) 308-14-29", "(514) 721-4711": "(514) 270-1680", "8-800-555-35-35": "8-803-614-18-24", "12-3": "12-3"}
 VALUES = {
     "email": ["a@b", "x @y.z", "John.Doe-99@Mail.COM", "иван.петров@почта.рф", "a@b@c.de", None, "", "Müller.x@y.z", "o'hara+tag@x.org"],
@@ -33,6 +36,35 @@ def test_agrees_with_sql(spark, kind):
     assert run(spark, kind, VALUES[kind]) == want
 
 
+def some_values(kind, n=400):
+    r = random.Random(kind)
+    letters = {"email": "abXY.-_+9 éяШё@", "postal_code": "0012AB9 -Я", "address": "abcBD 0179,.-ёЖя"}[kind]
+    out = ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(n)]
+    if kind == "email":
+        out += [f"{v.replace('@', '').replace(' ', '')}@{r.choice(['x.de', 'почта.рф', 'A.b.C'])}" for v in out]
+    if kind == "address":
+        out += [f"{r.choice(['ул. ', 'St ', '', 'г ', '007 '])}{v}" for v in out]
+    return out + VALUES[kind]
+
+
+@pytest.mark.parametrize("kind", ["email", "postal_code", "address"])
+def test_against_plain_python(spark, kind):
+    values = some_values(kind)
+    assert run(spark, kind, values) == [getattr(plain, kind)(v) for v in values]
+
+
+@pytest.mark.parametrize("scope", ["year", "month", "days"])
+def test_dates_against_plain_python(spark, scope):
+    r = random.Random(scope)
+    values = [f"{r.randint(1900, 2100)}-{r.randint(1, 12):02}-{r.randint(1, 31):02}" for _ in range(300)] + [" 2024-02-29 ", "2023-02-29"]
+    assert run(spark, f"date_shuffle_{scope}", values) == [plain.iso_date(v, scope) for v in values]
+
+
+def test_date_scope():
+    assert [maskers.date_scope(c) for c in ("HireDate", "BirthDate", "end_month", "Year", "seen")] == ["month", "year", "month", "year", "days"]
+    assert maskers.date_scope("HireDate", "date_shuffle_days") == "days"
+
+
 def shape(v):
     return re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", re.sub(r"\d", "9", v))
 
