@@ -53,6 +53,11 @@ def escape(value: Column, quote: str = "'") -> Column:
     return F.replace(out, F.lit(quote), F.lit(quote * 2))
 
 
+def same_class(a: str, b: str) -> bool:
+    """same_literal_class for two strings."""
+    return bool(re.search(NUMBER, a) and re.search(NUMBER, b) and len(a) == len(b)) or bool(re.search(BARE_DATE, a) and re.search(BARE_DATE, b))
+
+
 def same_literal_class(a: Column, b: Column) -> Column:
     """Both numbers of equal length, or both bare dates."""
     return (a.rlike(NUMBER) & b.rlike(NUMBER) & (F.length(a) == F.length(b))) | (a.rlike(BARE_DATE) & b.rlike(BARE_DATE))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from maskframe.engine import CYCLED, ROTATED, Engine, NothingMasked
 from maskframe.functions.maskers import _OWN, MASKERS
-from maskframe.sources.sqldump import SqlDump, rendered
+from maskframe.sources.sqldump import SqlDump, encoding_of, rendered
 
 
 def read(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
@@ -29,9 +29,23 @@ def as_table(dump: DataFrame, table: str, columns: list[str]) -> DataFrame:
     return rows.select("seq", *(F.get("data", F.lit(i)).alias(c) for i, c in enumerate(columns)))
 
 
+def skeletons(dump: DataFrame) -> DataFrame:
+    """seq, skeleton: each segment with its values taken out; what masking must not change is quotes, prefixes, blanks and separators."""
+    bare = F.transform("tokens", lambda t: F.regexp_replace(t, r"(?s)^(\s*[Nn]?)(['\"]).*(['\"])(\s*)$", "$1$2$3$4"))
+    bare = F.transform(bare, lambda t: F.regexp_replace(t, r"^(\s*)[^'\"\s].*?(\s*)$", "$1?$2"))
+    return dump.select("seq", F.when(F.col("kind") == "row", F.concat_ws(",", bare)).otherwise(F.col("raw")).alias("skeleton"))
+
+
+def structure_changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """seq of the segments whose skeletons differ between two dumps, or that one of them lacks."""
+    a, b = skeletons(before), skeletons(after).withColumnRenamed("skeleton", "other")
+    return a.join(b, "seq", "full").where(~F.col("skeleton").eqNullSafe(F.col("other"))).select("seq")
+
+
 def mask_dump(spark: SparkSession, path: str, out: str, engine: Engine | None = None, encoding: str | None = None) -> int:
-    """Writes a masked copy of one dump and returns its number of rows. Raises NothingMasked, and writes nothing, where no table can be masked."""
+    """Writes a masked copy of one dump in the same encoding and returns its number of rows. Raises NothingMasked, and writes nothing, where no table can be masked."""
     engine = engine or Engine(spark)
+    encoding = encoding or encoding_of(path)
     dump = read(spark, path, encoding).cache()
     try:
         names = tables(dump)
@@ -39,7 +53,7 @@ def mask_dump(spark: SparkSession, path: str, out: str, engine: Engine | None =
         types = engine.types({t: f.drop("seq") for t, f in frames.items()})
         if not any(k in MASKERS | _OWN and k != "skip" or k in ROTATED | CYCLED for k in types.values()):
             raise NothingMasked("no column has a type to mask")
-        mapping = engine.mappings(frames, types)
+        mapping = engine.mappings(frames, types, positions=dict.fromkeys(frames, "seq"))
         masked = None
         for t, f in frames.items():
             done = engine.apply(f, t, types, mapping).select("seq", F.array(*(F.col(f"`{c}`") for c in names[t])).alias("new"))
@@ -51,7 +65,7 @@ def mask_dump(spark: SparkSession, path: str, out: str, engine: Engine | None =
                 yield pd.DataFrame({"seq": b["seq"], "kind": b["kind"], "raw": raw})
 
         joined = dump.join(masked, "seq", "left").select("seq", "kind", "raw", "tokens", "new").repartitionByRange("seq").sortWithinPartitions("seq")
-        joined.mapInPandas(render, "seq long, kind string, raw string").write.format("sqldump").mode("append").option("path", out).option("encoding", encoding or "utf-8").save()
+        joined.mapInPandas(render, "seq long, kind string, raw string").write.format("sqldump").mode("append").option("path", out).option("encoding", encoding).save()
         return dump.where("kind = 'row'").count()
     finally:
         dump.unpersist()

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from maskframe.functions.literals import LITERAL, escape_text, unescape_text
+from maskframe.functions.literals import LITERAL, escape_text, same_class, unescape_text
 
 # Charset names of dumps, and the hints that announce one.
 CHARSETS = {"utf8mb4": "utf-8", "utf8mb3": "utf-8", "utf8": "utf-8", "latin1": "cp1252", "1251": "cp1251", "win1251": "cp1251", "windows-1251": "cp1251", "koi8r": "koi8-r"}
@@ -64,16 +64,41 @@ def sniff(data: bytes) -> str:
     return next((e for e in ("utf-8", "cp1251", "koi8-r", "cp1252") if decodes(data, e)), "latin-1")
 
 
+def encoding_of(path: str) -> str:
+    with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
+        return sniff(f.read(SNIFF_BYTES))
+
+
+#: What ends a quoted run that began before.
+_CLOSES = {q: re.compile(rf"(?:[^{q}\\]++|\\.|{q}{q})*+{q}", re.S) for q in "'\""} | {"`": re.compile("[^`]*+`")}
+_OPENS = re.compile("['\"`]")
+
+
+def _open_quote(line: str, quote: str) -> str:
+    """The quote that is open after a line, if one was (quote) before it."""
+    at = 0
+    while True:
+        if quote:
+            m = _CLOSES[quote].match(line, at)
+            if m is None:
+                return quote
+            at, quote = m.end(), ""
+        m = _OPENS.search(line, at)
+        if m is None:
+            return ""
+        at, quote = m.end(), m[0]
+
+
 def _statements(lines: Iterator[str]) -> Iterator[tuple[bool, str]]:
-    """(is an INSERT, text) in order; an INSERT ends with the line that holds its closing semicolon."""
+    """(is an INSERT, text) in order; an INSERT ends with the line that holds its closing semicolon. Each line is looked at once."""
     held: list[str] = []
+    quote = ""
     for line in lines:
         if held or _HEADER.match(line) or re.match(r"INSERT\s+INTO\b", line, re.I):
             held.append(line)
-            text = "".join(held)
-            bare = _QUOTED.sub("", text) if line.rstrip().endswith(";") else ""
-            if bare.rstrip().endswith(";") and not re.search(r"['\"]", bare):
-                yield True, text
+            quote = _open_quote(line, quote)
+            if not quote and line.rstrip().endswith(";"):
+                yield True, "".join(held)
                 held = []
         else:
             yield False, line
@@ -98,9 +123,7 @@ def rendered(token: str, value: str | None) -> str:
     m = _STRING.fullmatch(token)
     if m:
         return f"{m[1]}{m[2]}{m[3]}{escape_text(value, m[3])}{m[3]}{m[5]}"
-    number = re.compile(r"[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?")
-    same = (number.fullmatch(old) and number.fullmatch(value) and len(old) == len(value)) or (re.match(r"\d{4}-\d{2}-\d{2}", old) and re.match(r"\d{4}-\d{2}-\d{2}", value))
-    return token.replace(old, value) if same else token
+    return token.replace(old, value) if same_class(old, value) else token
 
 
 def _tuples(text: str, at: int) -> Iterator[tuple[int, int, list[str]]]:
@@ -179,8 +202,7 @@ class _Reader(DataSourceReader):
         return [_File(p, i) for i, p in enumerate(paths)]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            encoding = self.encoding or sniff(f.read(SNIFF_BYTES))
+        encoding = self.encoding or encoding_of(partition.path)
         with open(partition.path, encoding=encoding, newline="") as f:
             for seq, *rest in segments(f):
                 yield ((partition.number << 40) + seq, *rest)
@@ -194,7 +216,7 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Each task writes its rows, ordered by seq, to a part; the commit joins the parts in order and moves the whole into place. Without a row
+    """Each task writes its rows, which come ordered by seq, to a part; the commit joins the parts in order and moves the whole into place. Without a row
     that was rendered nothing is left behind."""
 
     def __init__(self, options):
@@ -203,13 +225,21 @@ class _Writer(DataSourceWriter):
         self.need_rows = options.get("need_rows", "true") == "true"
 
     def write(self, iterator):
-        got = sorted((r["seq"], r["kind"], r["raw"]) for r in iterator)
-        if not got:
-            return _Written(0, None, 0)
-        part = f"{self.path}.{uuid.uuid4().hex}.part"
-        with open(part, "w", encoding=self.encoding, newline="") as f:
-            f.writelines(raw for _, _, raw in got)
-        return _Written(got[0][0], part, sum(kind == "row" for _, kind, _ in got))
+        part, first, last, rows = f"{self.path}.{uuid.uuid4().hex}.part", None, None, 0
+        try:
+            with open(part, "w", encoding="utf-8" if self.encoding == "utf-8-sig" else self.encoding, newline="") as f:
+                for r in iterator:
+                    if last is not None and r["seq"] < last:
+                        raise ValueError("the rows of a dump must be ordered by seq in each partition")
+                    first, last = r["seq"] if first is None else first, r["seq"]
+                    rows += r["kind"] == "row"
+                    f.write(r["raw"])
+        except BaseException:
+            os.unlink(part)
+            raise
+        if first is None:
+            os.unlink(part)
+        return _Written(first or 0, part if first is not None else None, rows)
 
     def commit(self, messages):
         parts = sorted((m for m in messages if m is not None and m.path), key=lambda m: m.first)
@@ -218,6 +248,8 @@ class _Writer(DataSourceWriter):
             raise ValueError("the dump holds no row that could be masked; nothing was written")
         whole = f"{self.path}.{uuid.uuid4().hex}"
         with open(whole, "wb") as out:
+            if self.encoding == "utf-8-sig":
+                out.write(codecs.BOM_UTF8)
             for m in parts:
                 with open(m.path, "rb") as f:
                     while chunk := f.read(1 << 20):
@@ -246,14 +278,3 @@ class SqlDump(DataSource):
 
     def writer(self, schema, overwrite):
         return _Writer(self.options)
-
-
-def render_table(table: str, columns: list[str], rows: Iterator[tuple]) -> Iterator[str]:
-    """Lines of a dump of rows: one tuple a line."""
-    yield f"INSERT INTO `{table}` ({', '.join(f'`{c}`' for c in columns)}) VALUES\n"
-    held = None
-    for row in rows:
-        if held is not None:
-            yield held + ",\n"
-        held = "(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, (int, float)) else f"'{escape_text(str(v))}'" for v in row) + ")"
-    yield (held or "") + ";\n"
