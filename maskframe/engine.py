@@ -20,28 +20,41 @@ class NothingMasked(Exception):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config | None = None):
-        self.spark, self.config = spark, config or Config()
+    """providers: who proposes replacements for a type of cycled columns (name, title, company, composer); the sorted cycle where none is named."""
+
+    def __init__(self, spark: SparkSession, config: Config | None = None, providers: dict | None = None):
+        self.spark, self.config, self.providers = spark, config or Config(), providers or {}
 
     def types(self, tables: dict[str, DataFrame]) -> dict[tuple[str, str], str]:
         """(table, column) -> type. One row for each column reaches the driver."""
         out = {}
         for name, df in tables.items():
-            for r in classify(df, name, self.config.rules).collect():
+            for r in classify(df, name, self.config.rules, self.config.min_distinct).collect():
                 out[name, r["column"]] = r["type"]
         return out
 
-    def mappings(self, tables: dict[str, DataFrame], types: dict[tuple[str, str], str], existing: DataFrame | None = None) -> DataFrame:
-        """The dictionary of all rotated and cycled columns, after what exists (first wins). Columns of one scope share one cycle."""
+    def mappings(self, tables: dict[str, DataFrame], types: dict[tuple[str, str], str], existing: DataFrame | None = None, positions: dict[str, str] | None = None) -> DataFrame:
+        """The dictionary of all rotated and cycled columns, after what exists. Columns of one scope share one cycle, over the values that have no
+        replacement yet only. Rotated columns go by the order in which values are first seen: tables as given, rows by the column that
+        positions names for a table, else by their place in the table as it is read."""
         out = existing if existing is not None else self.spark.createDataFrame([], M.SCHEMA)
-        scopes: dict[str | None, DataFrame] = {}
-        for (table, column), kind in sorted(types.items()):
-            if kind in ROTATED | CYCLED:
-                scope = M.column_scope(column) if kind in ROTATED else None
-                one = tables[table].select(F.col(f"`{column}`").cast("string").alias("value"))
-                scopes[scope] = one if scope not in scopes else scopes[scope].unionByName(one)
-        for scope, values in scopes.items():
-            out = M.first_wins(out, M.cycle(M.distinct_values(values, "value"), scope, "value"))
+        scopes: dict[tuple[str | None, str | None], DataFrame] = {}
+        for number, (table, df) in enumerate(tables.items()):
+            at = (positions or {}).get(table)
+            at = F.col(f"`{at}`").cast("long") if at else F.monotonically_increasing_id()
+            for place, column in enumerate(df.columns):
+                kind = types.get((table, column), "skip")
+                if kind in ROTATED | CYCLED:
+                    key = (M.column_scope(column) if kind in ROTATED else None, kind if kind in self.providers else None)
+                    one = df.select(F.col(f"`{column}`").cast("string").alias("value"), F.struct(F.lit(number).alias("table"), at.alias("row"), F.lit(place).alias("column")).alias("at"))
+                    scopes[key] = one if key not in scopes else scopes[key].unionByName(one)
+        for (scope, provider), values in scopes.items():
+            new = M.unseen(M.distinct_values(values, "value", "at" if scope else None), out, scope)
+            if provider:
+                new = self.providers[provider].generate(new.select("value"), provider).select(F.lit(None).cast("string").alias("scope"), "original", "replacement")
+            else:
+                new = M.cycle(new, scope, "first_pos")
+            out = out.unionByName(new)
         return out
 
     def apply(self, df: DataFrame, table: str, types: dict[tuple[str, str], str], mapping: DataFrame | None = None) -> DataFrame:

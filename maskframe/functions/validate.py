@@ -45,6 +45,11 @@ def digit_run_widths(value: Column) -> Column:
     return F.transform(F.regexp_extract_all(value, F.lit("([0-9]+)"), F.lit(1)), lambda x: F.length(x))
 
 
+def has_cyrillic(value: Column) -> Column:
+    """Whether any letter from а to я occurs, in either case; ё alone doesn't count."""
+    return value.rlike("(?iu)[а-я]")
+
+
 def extract_json(text: str) -> dict:
     """The object of strings in a generator's answer: as it is, in a fence, the outer braces, with trailing commas, with single quotes, or the
     pairs that can be found (two at least); else nothing."""

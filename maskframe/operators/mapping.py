@@ -26,11 +26,12 @@ def distinct_values(df: DataFrame, column: str, position: str | None = None) ->
     return df.where(value.isNotNull() & (F.trim(value) != "")).groupBy(value.alias("value")).agg(at.alias("first_pos"))
 
 
-def cycle(values: DataFrame, scope: str | None, order: str, buckets: int = 16) -> DataFrame:
+def cycle(values: DataFrame, scope: str | None, order: str, buckets: int | None = None) -> DataFrame:
     """A cyclic mapping over distinct values: each to the next by order, the last to the first; a single value to itself.
 
-    Values are ranked within ranges, and only one row for each range meets in one place, so a column with very many distinct
-    values isn't gathered in one task."""
+    Values are ranked within ranges, as many as there are shuffle partitions, and only one row for each range meets in one place, so a
+    column with very many distinct values isn't gathered in one task."""
+    buckets = buckets or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = settled(values.repartitionByRange(buckets, F.col(order), F.col("value")).select("value", F.col(order).alias("at"), F.spark_partition_id().alias("range")))
     by = [F.col("at"), F.col("value")]
     inside = ranged.withColumn("next", F.lead("value").over(Window.partitionBy("range").orderBy(*by)))
@@ -63,6 +64,12 @@ def first_wins(existing: DataFrame, new: DataFrame) -> DataFrame:
     return a.unionByName(b.join(keys, b.scope.eqNullSafe(keys.s) & (b.original == keys.o), "left_anti"))
 
 
+def unseen(values: DataFrame, existing: DataFrame, scope: str | None) -> DataFrame:
+    """Those rows of values (column value) that the mapping doesn't know in a scope."""
+    known = existing.where(F.col("scope").eqNullSafe(F.lit(scope).cast("string"))).select(F.col("original").alias("value"))
+    return values.join(known, "value", "left_anti")
+
+
 def last_wins(mapping: DataFrame, order: str) -> DataFrame:
     """For each (scope, original) the replacement with the highest order."""
     best = mapping.groupBy("scope", "original").agg(F.max_by("replacement", order).alias("replacement"))
@@ -73,11 +80,12 @@ def apply(df: DataFrame, column: str, mapping: DataFrame, scope: str | None, on_
     """df with column replaced by its mapping. Unknown values: keep, fail (raise at run time) or hash."""
     if on_unknown not in ("keep", "fail", "hash"):
         raise ValueError(on_unknown)
-    some = mapping.where(F.col("scope").eqNullSafe(F.lit(scope).cast("string"))).select(F.col("original").alias("__o"), F.col("replacement").alias("__r"))
+    o, r = (next(n for n in (("_" * i) + name for i in range(1, 99)) if n.lower() not in {c.lower() for c in df.columns}) for name in ("original", "replacement"))
+    some = mapping.where(F.col("scope").eqNullSafe(F.lit(scope).cast("string"))).select(F.col("original").alias(o), F.col("replacement").alias(r))
     value = F.col(f"`{column}`").cast("string")
-    joined = df.join(some, value == F.col("__o"), "left")
+    joined = df.join(some, value == F.col(o), "left")
     other = {"keep": value, "hash": F.substring(F.sha2(value, 256), 1, 12), "fail": F.when(value.isNull() | (F.trim(value) == ""), value).otherwise(F.raise_error(F.concat(F.lit(f"no replacement in {column}: "), F.sha2(value, 256))))}[on_unknown]
-    masked = F.coalesce("__r", other)
+    masked = F.coalesce(r, other)
     return joined.select(*(masked.alias(c) if c == column else F.col(f"`{c}`") for c in df.columns))
 
 
@@ -89,7 +97,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
 
-def random_member(df: DataFrame, column: str, buckets: int = 16) -> DataFrame:
+def random_member(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """column's values with another member of the value set each, chosen by a hash: value, replacement."""
     return cycle(distinct_values(df, column).select("value", F.xxhash64("value").alias("h")), None, "h", buckets).select(F.col("original").alias("value"), "replacement")
 

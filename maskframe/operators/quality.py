@@ -34,3 +34,25 @@ def distinct_counts(original: DataFrame, masked: DataFrame, columns: list[str])
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     """size, values: how many values occur size times. Equal before and after a rotation."""
     return df.groupBy(column).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("values"))
+
+
+def row_counts(original: DataFrame, masked: DataFrame) -> DataFrame:
+    """rows_before, rows_after."""
+    return original.agg(F.count("*").alias("rows_before")).join(masked.agg(F.count("*").alias("rows_after")), F.lit(True))  # one row each
+
+
+def top_domains(df: DataFrame, column: str, n: int = 5) -> DataFrame:
+    """domain, n: the most frequent parts after the last @, ties by name."""
+    value = F.col(column)
+    domains = df.where(value.contains("@")).select(F.substring_index(value, "@", -1).alias("domain"))
+    return domains.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(n)
+
+
+def cost_estimate(tables: list[tuple[DataFrame, str]], per_call: float = 0.002, values_per_call: int = 20) -> DataFrame:
+    """calls, dollars: requests that the distinct values of the columns need."""
+    counts = None
+    for df, column in tables:
+        one = df.agg(F.countDistinct(column).alias("n"))
+        counts = one if counts is None else counts.unionByName(one)
+    calls = F.sum(F.ceil(F.col("n") / values_per_call))
+    return counts.agg(calls.cast("long").alias("calls"), (calls * F.lit(per_call)).alias("dollars"))

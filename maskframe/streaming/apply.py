@@ -21,8 +21,11 @@ def grow_mapping(spark: SparkSession, path: str, column: str):
     def run(batch: DataFrame, number: int) -> None:
         scope = M.column_scope(column)
         known = versions(spark, path, before=number)
-        new = M.cycle(M.distinct_values(batch, column), scope, "value")
-        merged = M.first_wins(known, new) if known is not None else new
+        values = M.distinct_values(batch, column)
+        if known is not None:  # a cycle over values that already have a replacement would give two of them the same one
+            values = M.unseen(values, known, scope)
+        new = M.cycle(values, scope, "value")
+        merged = known.unionByName(new) if known is not None else new
         M.save(merged, f"{path}/version={number}")
 
     return run
