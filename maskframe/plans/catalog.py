@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskframe.config import Config
@@ -16,7 +17,8 @@ from maskframe.operators import mapping as M
 from maskframe.operators import provider, quality
 from maskframe.plans import classify as C
 from maskframe.plans import profile as P
-from maskframe.plans.settle import shared_dir
+from maskframe.plans.settle import settled, shared_dir
+from maskframe.streaming.apply import grow_mapping, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,6 +61,17 @@ def masked_query(name: str, table: str, keys: list[str], value, kind: str, where
     query(name, text(DUCK))(run)
 
 
+def found_query(name: str, pattern: str, kind: str) -> None:
+    """A masker over all that a pattern finds in whole texts."""
+
+    def run(spark, sf_dir):
+        found = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "original"))
+        return found.select("doc_id", "pos", "original", maskers.mask(kind, "original").alias("masked"))
+
+    found = f"SELECT doc_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, unnest(m) AS original FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m FROM documents) x"
+    query(name, f"SELECT doc_id, pos, original, {maskers.masker(kind)(DUCK, 'original')} AS masked FROM ({found}) t")(run)
+
+
 def values_query(name: str, values: list, kind: str) -> None:
     """A masker over given values, null among them."""
     quoted = [(i, "NULL" if v is None else "'" + v.replace("'", "''") + "'") for i, v in enumerate(values)]
@@ -72,7 +85,7 @@ def values_query(name: str, values: list, kind: str) -> None:
 
 
 masked_query("q05_phone_mask_customer", "customer", ["c_custkey"], PHONE, "phone")
-masked_query("q06_phone_mask_documents", "documents", ["doc_id"], "regexp_extract(text, '[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}', 0)", "phone")
+found_query("q06_phone_mask_documents", "[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", "phone")
 for _scope in ("year", "month", "days"):
     masked_query({"year": "q20", "month": "q21", "days": "q22"}[_scope] + f"_date_{_scope}_shift", "orders", ["o_orderkey"], lambda q: q.iso("o_orderdate", "yyyy-MM-dd"), f"date_shuffle_{_scope}")
 masked_query("q23_date_formats_dmy", "orders", ["o_orderkey"], lambda q: q.iso("o_orderdate", "dd.MM.yyyy"), "date_shuffle_year")
@@ -83,7 +96,7 @@ masked_query("q24_unix_seconds", "events", ["event_id"], lambda q: _UNIX[q], "da
 masked_query("q25_unix_millis", "events", ["event_id"], lambda q: f"concat({_UNIX[q]}, lpad(cast(event_id % 1000 as string), 3, '0'))", "date_shuffle_year")
 values_query("q26_date_invalid_passthrough", ["2024-02-31", None, "", "   ", "n/a", "NULL", "24-01-01", "2024-13-01", "2024-01-31 25:00", "2024-02-29", "5/6/2024", "12/31/2023"], "date_shuffle_year")
 masked_query("q30_email_mask_customer", "customer", ["c_custkey"], EMAIL, "email")
-masked_query("q31_email_mask_documents", "documents", ["doc_id"], "regexp_extract(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+[.][a-z]+', 0)", "email")
+found_query("q31_email_mask_documents", "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+[.][a-z]+", "email")
 masked_query("q32_postal_mask", "customer", ["c_custkey"], ZIP, "postal_code")
 values_query("q33_postal_formats", ["98004", "98004-1234", "012345", "0000", "K1A 0B1", "SW1A 1AA", "12", "МУР 1234", None, "NULL", "00-012"], "postal_code")
 masked_query("q34_address_mask", "supplier", ["s_suppkey"], ADDRESS, "address")
@@ -158,14 +171,18 @@ def _q09(spark, sf_dir):
 
 # ---- profiles and classification ----------------------------------------------------------------------------------------
 
-_PROFILED = {"customer": ["c_name", "c_mktsegment", "c_nationkey"], "part": ["p_name", "p_brand", "p_type", "p_size"], "orders": ["o_orderstatus", "o_orderpriority"], "events": ["event_type", "props", "user_id"]}
-_CELLS = " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS col, trim(CAST({c} AS VARCHAR)) AS v FROM {t}" for t, cs in _PROFILED.items() for c in cs)
+#: All scalar columns of four tables. Engines write fractions differently, so these are read as decimals.
+_PROFILED = {"customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "events": "event_id ts user_id event_type value props"}
+_FRACTIONAL = {"c_acctbal", "p_retailprice", "o_totalprice", "value"}
+_TEXT = {"o_orderdate": "strftime(o_orderdate, '%Y-%m-%d')", "ts": "strftime(ts, '%Y-%m-%d %H:%M:%S')"} | {c: f"CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR)" for c in _FRACTIONAL}
+_CELLS = " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS col, trim({_TEXT.get(c, f'CAST({c} AS VARCHAR)')}) AS v FROM {t}" for t, cs in _PROFILED.items() for c in cs.split())
 
 
 def _over_tables(spark, sf_dir, f):
     out = None
     for t, cs in _PROFILED.items():
-        one = f(read(spark, sf_dir, t), cs).select(F.lit(t).alias("tbl"), "*").withColumnRenamed("column", "col")
+        form = lambda c: F.col(c).cast("decimal(18,2)") if c in _FRACTIONAL else F.date_format(c, "yyyy-MM-dd" if c == "o_orderdate" else "yyyy-MM-dd HH:mm:ss") if c in _TEXT else F.col(c)
+        one = f(read(spark, sf_dir, t).select(*(form(c).alias(c) for c in cs.split()))).select(F.lit(t).alias("tbl"), "*").withColumnRenamed("column", "col")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -196,15 +213,14 @@ _COLUMNS = {
     "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
     "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props",
-    "documents": "doc_id text lang source n_chars", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+    "documents": "doc_id text lang source n_chars", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text", "pages": "page_id url html", "embeddings": "vec_id label",
 }
-_FRACTIONAL = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"}
 _NAME_ROWS = ", ".join(f"('{t}', '{c}')" for t, cs in _COLUMNS.items() for c in cs.split())
 
 
 @query("q13_skip_column_predicate", f"SELECT tbl, col, regexp_matches(lower(col), '{C.SKIP_NAMES}') AS skipped FROM (VALUES {_NAME_ROWS}) t(tbl, col)")
 def _q13(spark, sf_dir):
-    rows = [(t, c) for t in _COLUMNS for c in read(spark, sf_dir, t).columns]
+    rows = [(t, c) for t in _COLUMNS for c in P.scalar_columns(read(spark, sf_dir, t))]
     return spark.createDataFrame(rows, "tbl string, col string").withColumn("skipped", F.lower("col").rlike(C.SKIP_NAMES))
 
 
@@ -215,8 +231,6 @@ def _classify_sql() -> str:
         for c in cs.split():
             if C.is_skip_column(c):
                 fixed.append(f"('{t}', '{c}', 'skip')")
-            elif c in _FRACTIONAL:
-                cells.append(f"SELECT DISTINCT '{t}' AS tbl, '{c}' AS col, x AS v FROM (VALUES ('1'), ('2')) f(x)")
             else:
                 cells.append(f"SELECT DISTINCT '{t}' AS tbl, '{c}' AS col, trim(CAST({c} AS VARCHAR)) AS v FROM {t}")
     kind = C.chain("lower(col)", "n", "at_sign", "dates", "colon", "phones", "numeric", like)
@@ -248,6 +262,45 @@ def _q16(spark, sf_dir):
     return C.classify(read(spark, sf_dir, "customer"), "customer", rules).select(F.col("column").alias("col"), "type")
 
 
+@query("q17_classify_notes", """
+SELECT * FROM (SELECT 'contact' AS col, 'email' AS type, concat(count(DISTINCT concat(lower(replace(c_name, '#', '.')), '@example.com')), ' e-mails') AS note FROM customer
+UNION ALL SELECT 'c_mktsegment', 'genre', concat(count(DISTINCT c_mktsegment), ' values, each to the next') FROM customer UNION ALL SELECT 'c_custkey', 'skip', '' UNION ALL SELECT 'nation_id', 'skip', 'key or measure' UNION ALL SELECT 'c_name', 'company', 'explicit rule')""")
+def _q17(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("nation_id"), "c_mktsegment", F.expr(EMAIL).alias("contact"))
+    return C.classify(df, "customer", {"customer.c_name": "company"}).select(F.col("column").alias("col"), "type", "note")
+
+
+_UNSEEN = """WITH d AS (SELECT n_name AS v, min(n_nationkey) AS p FROM nation WHERE n_nationkey % 5 <> 0 GROUP BY 1)"""
+
+
+@query("q18_engine_rotates_unseen", f"""{_UNSEEN}
+SELECT 'n_name' AS scope, v AS original, {_CYCLE.format(v='v', o='p')} AS replacement FROM d UNION ALL SELECT 'n_name', n_name, 'known' FROM nation WHERE n_nationkey % 5 = 0""")
+def _q18(spark, sf_dir):
+    df = read(spark, sf_dir, "nation")
+    known = df.where("n_nationkey % 5 = 0").select(F.lit("n_name").alias("scope"), F.col("n_name").alias("original"), F.lit("known").alias("replacement"))
+    return Engine(spark).mappings({"nation": df}, {("nation", "n_name"): "genre"}, known, {"nation": "n_nationkey"})
+
+
+@query("q19_stream_grows_mapping", f"""
+WITH a AS (SELECT DISTINCT p_brand AS v FROM part WHERE p_partkey % 7 = 0), b AS (SELECT DISTINCT p_brand AS v FROM part WHERE p_brand NOT IN (SELECT v FROM a))
+SELECT 'p_brand' AS scope, v AS original, {_CYCLE.format(v='v', o='v')} AS replacement FROM a UNION ALL SELECT 'p_brand', v, {_CYCLE.format(v='v', o='v')} FROM b""")
+def _q19(spark, sf_dir):
+    df, path = read(spark, sf_dir, "part"), f"{shared_dir(spark)}/grown-{uuid.uuid4().hex}"
+    grow = grow_mapping(spark, path, "p_brand")
+    grow(df.where("p_partkey % 7 = 0"), 0)
+    grow(df, 1)
+    return settled(versions(spark, path))
+
+
+@query("q29_date_scope_by_column", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS original, hire_day, birth_day FROM (SELECT o_orderkey, o_orderdate, HIRE AS hire_day, BIRTH AS birth_day FROM (SELECT o_orderkey, o_orderdate, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders) x) y""".replace(
+    "HIRE", maskers.masker("date_shuffle_month")(DUCK, "d")).replace("BIRTH", maskers.masker("date_shuffle_year")(DUCK, "d")))
+def _q29(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    df = read(spark, sf_dir, "orders").select("o_orderkey", day.alias("original"), day.alias("hire_day"), day.alias("birth_day"))
+    return df.select("o_orderkey", "original", maskers.mask("date_shuffle", "hire_day").alias("hire_day"), maskers.mask("date_shuffle", "birth_day").alias("birth_day"))
+
+
 # ---- validation and quality ---------------------------------------------------------------------------------------------
 
 _PAIRS = [("a@b.de", "x@b.de"), ("a@b.de", "x@c.de"), ("a@b.de", "none here"), ("2024-01-01", "2023-01-01"), ("2024-01-01", "soon"), ("12345", "54321"), ("12345", "x"), ("Bob", "Bob"), ("Bob", " "), ("Bob", "N/A"), ("Bob", "<name>"), ("Bob", "***"), ("Bob", None), ("Bob", "Tim"), ("AC/DC", "R.E.M.")]
@@ -320,7 +373,7 @@ def _q43(spark, sf_dir):
 @query("q44_quality_row_count", "SELECT count(*) AS rows_before, count(*) AS rows_after FROM customer")
 def _q44(spark, sf_dir):
     a, b = _masked_customer(spark, sf_dir)
-    return a.agg(F.count("*").alias("rows_before")).join(b.agg(F.count("*").alias("rows_after")), F.lit(True))
+    return quality.row_counts(a, b)
 
 
 @query("q45_quality_masked_differs", "SELECT CAST(0 AS BIGINT) AS same_phone, CAST(0 AS BIGINT) AS same_email, CAST(0 AS BIGINT) AS same_zip")
@@ -356,9 +409,9 @@ def _q48(spark, sf_dir):
 # ---- dumps and literals -------------------------------------------------------------------------------------------------
 
 
-def _dump_of(spark, sf_dir, table, columns):
-    """A table written as a dump in the shared folder and read back."""
-    from maskframe.sources.dumps import as_table, read as read_dump
+def _dump_of(spark, sf_dir, table, columns, kinds=None):
+    """A table written as a dump in the shared folder, masked if kinds are given, and read back."""
+    from maskframe.sources.dumps import as_table, mask_dump, read as read_dump
 
     df = read(spark, sf_dir, table).select(*columns)
     text = F.concat(F.lit("("), F.concat_ws(", ", *(F.concat(F.lit("'"), literals.escape(F.col(c).cast("string")), F.lit("'")) for c in columns)), F.lit(")"))
@@ -370,8 +423,28 @@ def _dump_of(spark, sf_dir, table, columns):
 
     spark.dataSource.register(SqlDump)
     path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}.sql"
-    head.unionByName(rows).repartitionByRange("seq").write.format("sqldump").mode("append").option("path", path).save()
-    return as_table(read_dump(spark, path), table, columns)
+    head.unionByName(rows).repartitionByRange("seq").sortWithinPartitions("seq").write.format("sqldump").mode("append").option("path", path).save()
+    out = as_table(read_dump(spark, path), table, columns) if kinds is None else None
+    if out is None:
+        masked = f"{path}.masked"
+        mask_dump(spark, path, masked, Engine(spark, Config({f"{table}.{c}": k for c, k in kinds.items()})))
+        out = as_table(read_dump(spark, masked), table, columns)
+    return _taken(out, path, f"{path}.masked")
+
+
+def _taken(df, *paths):
+    """df, fixed in the shared folder, so that the dumps it was read from can go."""
+    df = settled(df)
+    for p in paths:
+        Path(p.removeprefix("file://").removeprefix("file:")).unlink(missing_ok=True)
+    return df
+
+
+@query("q59_dump_masked_customer", f"""
+WITH n AS (SELECT v, {_CYCLE.format(v='v', o='v')} AS r FROM (SELECT DISTINCT c_name AS v FROM customer)), g AS (SELECT v, {_CYCLE.format(v='v', o='p')} AS r FROM (SELECT c_mktsegment AS v, min(c_custkey) AS p FROM customer GROUP BY 1))
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, n.r AS c_name, g.r AS c_mktsegment FROM customer JOIN n ON c_name = n.v JOIN g ON c_mktsegment = g.v""")
+def _q59(spark, sf_dir):
+    return _dump_of(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_mktsegment"], {"c_name": "name", "c_mktsegment": "genre", "c_custkey": "skip"}).drop("seq")
 
 
 @query("q50_dump_roundtrip_nation", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
@@ -439,10 +512,6 @@ def _q60(spark, sf_dir):
     names = read(spark, sf_dir, "customer").select("c_name").distinct()
     ranked = M.distinct_values(names, "c_name").select("value")
     # Ranks over ranges: the rows before each range, then the place in it.
-    from pyspark.sql import Window
-
-    from maskframe.plans.settle import settled
-
     ranged = settled(ranked.repartitionByRange(16, "value").withColumn("range", F.spark_partition_id()))
     before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("range").agg(F.count("*").alias("size")).select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
@@ -459,9 +528,7 @@ def _q61(spark, sf_dir):
 
 @query("q62_cost_estimate", "SELECT CAST(sum(ceil(n / 20.0)) AS BIGINT) AS calls, sum(ceil(n / 20.0)) * 0.002e0 AS dollars FROM (SELECT count(DISTINCT c_name) AS n FROM customer UNION ALL SELECT count(DISTINCT p_name) FROM part)")
 def _q62(spark, sf_dir):
-    n = read(spark, sf_dir, "customer").agg(F.countDistinct("c_name").alias("n")).unionByName(read(spark, sf_dir, "part").agg(F.countDistinct("p_name").alias("n")))
-    calls = F.sum(F.ceil(F.col("n") / provider.CHUNK_VALUES))
-    return n.agg(calls.cast("long").alias("calls"), (calls * F.lit(0.002)).alias("dollars"))
+    return quality.cost_estimate([(read(spark, sf_dir, "customer"), "c_name"), (read(spark, sf_dir, "part"), "p_name")])
 
 
 @query("q63_extract_json", "SELECT * FROM (VALUES (0, 'a', 'b'), (1, 'a', 'b'), (2, 'a', 'b'), (3, 'a', 'b'), (4, 'x', '1'), (4, 'y', '2')) t(i, k, v)")
@@ -477,6 +544,36 @@ def _q65(spark, sf_dir):
     return provider.Table(pairs).generate(read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("value")), "c_mktsegment")
 
 
+@query("q66_engine_asks_provider", """
+SELECT CAST(NULL AS VARCHAR) AS scope, c_name AS original, min(concat('Client ', c_custkey)) AS replacement FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_name""")
+def _q66(spark, sf_dir):
+    df = read(spark, sf_dir, "customer")
+    pairs = df.where("c_custkey % 3 = 0").groupBy(F.col("c_name").alias("original")).agg(F.min(F.concat(F.lit("Client "), F.col("c_custkey").cast("string"))).alias("replacement"))
+    return Engine(spark, providers={"name": provider.Table(pairs)}).mappings({"customer": df}, {("customer", "c_name"): "name"})
+
+
+@query("q67_top_domains", """
+SELECT domain, count(*) AS n FROM (SELECT split_part(m, '@', -1) AS domain FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+[.][a-z]+')) AS m FROM documents)) GROUP BY domain ORDER BY n DESC, domain LIMIT 5""")
+def _q67(spark, sf_dir):
+    found = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._-]+@[A-Za-z0-9.-]+[.][a-z]+"), F.lit(0))).alias("m"))
+    return quality.top_domains(found, "m")
+
+
+@query("q68_text_scripts", "SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)[а-я]')) AS cyrillic FROM documents GROUP BY lang")
+def _q68(spark, sf_dir):
+    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(validate.has_cyrillic(F.col("text"))).alias("cyrillic"))
+
+
+@query("q69_violations_by_field", f"SELECT field, reason, count(*) AS n FROM (SELECT concat('f', i % 2) AS field, {_VIOLATION} AS reason FROM (VALUES {_PAIR_ROWS}) t(i, original, replacement)) WHERE reason IS NOT NULL GROUP BY 1, 2")
+def _q69(spark, sf_dir):
+    return provider.violations(_pairs(spark).withColumn("field", F.concat(F.lit("f"), (F.col("i") % 2).cast("string"))))
+
+
+@query("q58_digit_runs", "SELECT p_partkey, list_transform(regexp_extract_all(p_name || p_size, '[0-9]+'), lambda x: CAST(length(x) AS INTEGER)) AS widths FROM part")
+def _q58(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", validate.digit_run_widths(F.concat("p_name", F.col("p_size").cast("string"))).alias("widths"))
+
+
 # ---- whole tables -------------------------------------------------------------------------------------------------------
 
 

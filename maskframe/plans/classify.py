@@ -5,11 +5,13 @@ Explicit rules come first, then key and measure columns (skipped), then columns
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskframe.plans.profile import profile, scalar_columns
+from maskframe.plans.profile import scalar_columns
 
 # Names and patterns of the rules, in their order.
 SKIP_NAMES = "id$|^pk$|^reportsto$|^managerid$|^repid$|quantity|unitprice|total|bytes|milliseconds|duration|weight"
@@ -48,44 +50,55 @@ def chain(name: str, n: str, at_sign: str, dates: str, colon: str, phones: str,
 
 
 def is_skip_column(column: str) -> bool:
-    import re
-
     return re.search(SKIP_NAMES, column.lower()) is not None
 
 
 def flags(df: DataFrame, columns: list[str]) -> DataFrame:
-    """For each column: n, at_sign, dates, colon, phones, numeric (counts of distinct values)."""
+    """For each column: n, at_sign, dates, colon, phones, numeric (counts of distinct values; numbers are told apart as numbers).
+
+    Values are looked at where they are read; only their 128-bit hashes and flags are shuffled, once for each different value of a task."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def cell(c):
+        x = F.col(f"`{c}`")
+        if isinstance(kinds[c], T.FractionalType):
+            finite = x.isNotNull() & ~F.isnan(x.cast("double"))
+            return F.struct(F.lit(c).alias("column"), F.when(finite, F.lit("0")).alias("value"), F.xxhash64(x).alias("h1"), F.lit(0).cast("long").alias("h2"))
+        v = F.trim(x.cast("string"))
+        return F.struct(F.lit(c).alias("column"), F.when(v != "", v).alias("value"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"))
+
     v = F.col("value")
     digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
-    return profile(df, columns).groupBy("column").agg(
-        F.count("*").alias("n"), F.count_if(v.contains("@")).alias("at_sign"), F.count_if(v.rlike(DATE)).alias("dates"), F.count_if(v.contains(":")).alias("colon"),
-        F.count_if(v.rlike(PHONE) & (digits >= 7)).alias("phones"), F.count_if(v.rlike(NUMERIC)).alias("numeric"),
-    )
-
+    told = {"at_sign": v.contains("@"), "dates": v.rlike(DATE), "colon": v.contains(":"), "phones": v.rlike(PHONE) & (digits >= 7), "numeric": v.rlike(NUMERIC)}
+    cells = df.select(F.explode(F.array(*map(cell, columns))).alias("c")).select("c.*").where("value is not null")
+    one = cells.select("column", "h1", "h2", *(t.alias(n) for n, t in told.items())).distinct()
+    return one.groupBy("column").agg(F.count("*").alias("n"), *(F.count_if(n).alias(n) for n in told))
 
-def classify(df: DataFrame, table: str, rules: dict[str, str] | None = None) -> DataFrame:
-    """table, column, type, samples (distinct values; null for columns settled by name or type alone).
 
-    Columns settled by a rule or their name aren't read. Fractional columns are numeric by their type."""
+def classify(df: DataFrame, table: str, rules: dict[str, str] | None = None, min_distinct: int = 2) -> DataFrame:
+    """table, column, type, samples (distinct values; null for columns settled by name or type alone), note. Columns with fewer than min_distinct
+    different values are none. Columns settled by a rule or their name aren't read."""
     spark = df.sparkSession
     rules = rules or {}
-    settled, open_, fractional = [], [], []
+    settled, open_ = [], []
     for c in scalar_columns(df):
         rule = rules.get(f"{table}.{c}") or rules.get(f"{table}_{c}")
         if rule:
-            settled.append((table, c, rule))
+            settled.append((table, c, rule, "explicit rule"))
         elif is_skip_column(c):
-            settled.append((table, c, "skip"))
-        elif isinstance(df.schema[c].dataType, T.FractionalType):
-            fractional.append((c, 1, 0, 0, 0, 0, 1))
+            settled.append((table, c, "skip", "key or measure"))
         else:
             open_.append(c)
     like = lambda x, p: f"{x} rlike '{p}'"
     kind = F.expr(chain("lower(column)", "n", "at_sign", "dates", "colon", "phones", "numeric", like))
-    schema = "column string, n long, at_sign long, dates long, colon long, phones long, numeric long"
-    known = spark.createDataFrame(settled, "table string, column string, type string").withColumn("samples", F.lit(None).cast("long"))
-    by_type = spark.createDataFrame(fractional, schema).select(F.lit(table).alias("table"), "column", kind.alias("type"), F.lit(None).cast("long").alias("samples"))
-    out = known.unionByName(by_type)
-    if open_:
-        out = out.unionByName(flags(df, open_).select(F.lit(table).alias("table"), "column", F.when(F.col("n") < 2, "none").otherwise(kind).alias("type"), F.col("n").alias("samples")))
-    return out
+    known = spark.createDataFrame(settled, "table string, column string, type string, note string").select("table", "column", "type", F.lit(None).cast("long").alias("samples"), "note")
+    if not open_:
+        return known
+    found = flags(df, open_).withColumn("type", F.when(F.col("n") < min_distinct, "none").otherwise(kind))
+    note = (
+        F.when(F.col("type") == "email", F.concat(F.col("at_sign").cast("string"), F.lit(" e-mails")))
+        .when(F.col("type") == "phone", F.concat(F.col("phones").cast("string"), F.lit(" phone-like")))
+        .when(F.col("type") == "genre", F.concat(F.col("n").cast("string"), F.lit(" values, each to the next")))
+        .otherwise("")
+    )
+    return known.unionByName(found.select(F.lit(table).alias("table"), "column", "type", F.col("n").alias("samples"), note.alias("note")))

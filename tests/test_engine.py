@@ -1,8 +1,10 @@
 """Mappings, classification, dumps, streams and the engine on small tables."""
 
+import time
+
 import pytest
 
-from maskframe.config import Config, parse_rules, write_rules
+from maskframe.config import Config, parse_rules, read_env, service_settings, write_rules
 from maskframe.engine import Engine, NothingMasked
 from maskframe.functions import validate
 from maskframe.operators import mapping as M
@@ -68,6 +70,28 @@ def test_dump_round_trip(spark, tmp_path):
     assert [r["row"] for r in dumps.read(spark, str(out)).where("kind = 'row'").orderBy("seq").collect()] == [1, 2, 3, 1, 2, 3]
 
 
+@pytest.mark.parametrize("encoding", ["cp1251", "utf-8-sig", "koi8-r"])
+def test_dump_keeps_its_encoding(spark, tmp_path, encoding):
+    name = {"cp1251": "cp1251", "utf-8-sig": "utf8", "koi8-r": "koi8r"}[encoding]
+    dump = f"SET NAMES '{name}';\nINSERT INTO `p` (`id`, `name`) VALUES\n(1, 'Борис'),\n(2, 'Анна');\n"
+    path, out = tmp_path / "d.sql", tmp_path / "o.sql"
+    path.write_bytes(dump.encode(encoding))
+    assert dumps.mask_dump(spark, str(path), str(out), Engine(spark, Config({"p.name": "name"}))) == 2
+    assert out.read_bytes() == dump.replace("Борис", "?").replace("Анна", "Борис").replace("?", "Анна").encode(encoding)
+    before, after = dumps.read(spark, str(path)), dumps.read(spark, str(out))
+    assert dumps.structure_changed(before, after).count() == 0
+    out.write_bytes(out.read_bytes().replace(b"(2, ", b"(2 ,"))
+    assert dumps.structure_changed(before, dumps.read(spark, str(out))).count() == 1
+
+
+def test_dump_statement_of_many_lines():
+    lines = ["INSERT INTO `t` (`id`, `x`) VALUES\n", *(f"({i}, 'a;\n b''c'),\n" for i in range(40_000)), "(0, 'end');\n"]
+    began = time.time()
+    got = list(sqldump.segments(iter("".join(lines).splitlines(keepends=True))))
+    assert sum(x[1] == "row" for x in got) == 40_001 and "".join(x[5] for x in got) == "".join(lines)
+    assert time.time() - began < 30
+
+
 def test_dump_with_nested_calls_and_empty_tokens(spark, tmp_path):
     dump = "INSERT INTO `p` (`id`, `x`, `name`) VALUES (1, f(g(2)), 'Bob'),(2, f(3), 'Tim') , (h(i(j('a)('), 4)),, 'Ann''s'),\n(4, NULL, 'Eve)') /* end */;\n"
     dump += "INSERT INTO p (id, x, name) VALUES (5,,'Ida'); INSERT INTO `q` VALUES ((1+(2*3)),'Max') ON DUPLICATE KEY UPDATE a=VALUES(a);\n"
@@ -111,18 +135,76 @@ def test_encodings():
 def test_provider(spark):
     asked = []
 
-    def ask(field, values):
+    def ask(request):
+        values = request.values
         asked.append(len(values))
         return "" if len(values) > 5 else "{" + ", ".join(f'"{v}": "new {v}"' for v in values) + ', "unasked": "x"}'
 
     df = spark.createDataFrame([(f"v{i:02}",) for i in range(12)], "value string")
-    got = pairs(provider.Service(ask).generate(df, "f"))
+    got = pairs(provider.Service(ask, retry_pause=0).generate(df, "f"))
     assert got == {f"v{i:02}": f"new v{i:02}" for i in range(12)}
     assert len(provider.chunk_plan([f"v{i}" for i in range(270)])) == 14
     assert provider.chunk_timeout(20, 1000) == 93
     assert validate.extract_json("{'a': 'b'}") == {"a": "b"} and validate.extract_json("x") == {}
 
 
+def test_service_retries_and_settings(spark):
+    calls = []
+
+    def ask(request):
+        calls.append((len(request.values), request.max_tokens, request.timeout))
+        if request.max_tokens < 65_536:
+            raise provider.BudgetSpent
+        return "{" + ", ".join(f'"{v}": "x {v}"' for v in request.values) + "}"
+
+    got = provider.Service(ask, retry_pause=0).answer("f", ["a", "b"])
+    assert got == {"a": "x a", "b": "x b"} and [c[:2] for c in calls] == [(2, 32_768), (2, 65_536)] and calls[0][2] < calls[1][2]
+    tried = []
+
+    def fails(request):
+        tried.append(len(request.values))
+        raise TimeoutError
+
+    assert provider.Service(fails, retry_pause=0).answer("f", list("abcdefgh")) == {} and tried == [8, 8, 4, 4, 2, 2, 2, 2, 4, 4, 2, 2, 2, 2]
+    assert provider.estimate_chars(["a", "b"]) == 560 and "3 earlier" in provider.format_rules("f", 3)
+    s = service_settings(None, {"LLM_PROVIDER": "Local", "LLM_MODEL": "m", "LLM_API_TOKEN": "k", "SAMPLES_PER_FIELD": "7"})
+    assert (s.endpoint, s.model, s.key, s.samples_per_field) == ("http://localhost:11434/v1", "m", "k", 7)
+
+
+def test_read_env(tmp_path):
+    (tmp_path / "e").write_text("# c\nLLM_MODEL = 'm n'\nnonsense\nA=b=c\n")
+    assert read_env(str(tmp_path / "e")) == {"LLM_MODEL": "m n", "A": "b=c"} and read_env(str(tmp_path / "no")) == {}
+
+
+def test_engine_rotates_what_it_has_not_seen(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["Rock", "Jazz", "Rock", "Metal", "Blues"])], "p int, g string")
+    engine, types = Engine(spark), {("t", "g"): "genre"}
+    first = engine.mappings({"t": df}, types, positions={"t": "p"})
+    assert pairs(first) == {"Rock": "Jazz", "Jazz": "Metal", "Metal": "Blues", "Blues": "Rock"}
+    more = spark.createDataFrame([(0, "Folk"), (1, "Jazz"), (2, "Ambient")], "p int, g string")
+    both = pairs(engine.mappings({"t": more}, types, first, {"t": "p"}))
+    assert both == pairs(first) | {"Folk": "Ambient", "Ambient": "Folk"} and sorted(both) == sorted(both.values())
+
+
+def test_names_may_clash(spark):
+    df = spark.createDataFrame([("x", 1, 2)], "v string, _original int, __replacement int")
+    got = M.apply(df, "v", spark.createDataFrame([(None, "x", "y")], M.SCHEMA), None)
+    assert got.columns == df.columns and got.first()[:3] == ("y", 1, 2)
+
+
+def test_cli(spark, tmp_path, capsys):
+    from maskframe import cli
+
+    (tmp_path / "in").mkdir()
+    for n in "ab":
+        (tmp_path / f"in/{n}.sql").write_text(DUMP, encoding="utf-8")
+    (tmp_path / "in/c.sql").write_text("INSERT INTO t VALUES (1, 'a');\n")
+    assert cli.main([str(tmp_path / "in"), "-o", str(tmp_path / "out")]) == 1
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a_sanitized.sql", "b_sanitized.sql"]
+    assert cli.main([str(tmp_path / "in/a.sql"), "--plan"]) == 0
+    assert "Artist.Email: email  # " in capsys.readouterr().out
+
+
 def test_rules_file():
     rules = parse_rules("# c\ntransforms:\n  A.b: name  # x\n  A.c: skip\noutput:\n  d: e\n")
     assert rules == {"A.b": "name", "A.c": "skip"}
@@ -148,7 +230,8 @@ def test_engine_and_stream(spark, tmp_path):
     grow = streaming.grow_mapping(spark, str(tmp_path / "grown"), "kind")
     grow(df.where("id < 2"), 0)
     grow(df, 1)
-    assert set(pairs(streaming.versions(spark, str(tmp_path / "grown")))) == {"a", "b", "c"}
+    got = pairs(streaming.versions(spark, str(tmp_path / "grown")))
+    assert sorted(got) == sorted(got.values()) == ["a", "b", "c"]
 
 
 def test_files(spark, tmp_path):
