@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from maskframe.llm import minhash, packing, quality, suffix_dedup, toxicity
-from maskframe.llm.common import materialize, table
+from maskframe.llm.common import materialize, spent, table
 from maskframe.llm.queries import tokenizer_path
 
 
@@ -36,7 +36,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 1024 tokens."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), cache_parts=150_000)  # workers still hold memory of earlier stages
 
 
 STAGES = [
@@ -47,12 +47,14 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Tokenisers, learnt weights and similarity of sets are beyond SQL; tests compare run() with a brute-force version.
+#: Tokenisers, learnt weights and similarity of sets are beyond SQL; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split(" ")[0].lower())
+        done = materialize(stage(spark, docs, sf_dir), name.split(" ")[0].lower())
+        spent(docs)  # what the stage before has written
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
