@@ -136,6 +136,41 @@ def test_fingerprints(spark, odd_docs, no_docs):
     assert simhash.fingerprint_documents(no_docs).count() == 0
 
 
+def plain_simhash(text):
+    """The fingerprint's 128 bits by votes, one by one, with xxHash64 as Spark defines it for several columns (each seeds the next)."""
+    import re
+
+    import xxhash
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    votes, total = [0] * 128, 0
+    for i, a in enumerate(words):
+        b = words[i + 1] if i + 1 < len(words) else None
+        h1 = xxhash.xxh64_intdigest(a.encode(), 42)
+        h1 = xxhash.xxh64_intdigest(b.encode(), h1) if b is not None else h1
+        h2 = xxhash.xxh64_intdigest(h1.to_bytes(8, "little"), 42)
+        weight = min(len(a) + len(b or ""), 24)
+        total += weight
+        for bit in range(64):
+            votes[bit] += weight * (h1 >> bit & 1)
+            votes[64 + bit] += weight * (h2 >> bit & 1)
+    bits = [2 * v > total for v in votes]
+    return sum(b << i for i, b in enumerate(bits[:64])) << 64 | sum(b << i for i, b in enumerate(bits[64:]))
+
+
+def test_fingerprints_against_plain_votes(spark):
+    texts = ["", " \n ", "One", "one  TWO\tthree", prose(1, 80), prose(1, 79) + " other", "Größe 漢字 ÉTÉ 😀 ok " * 9, "a" * 70, prose(5, 3000)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in simhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    prints = [plain_simhash(t) for t in texts]
+    for i, t in rows:
+        h = len(t) // 2
+        edited = plain_simhash(t[: len(t) - h] + texts[(i + 1) % len(texts)][:h])
+        alike = lambda a, b: 1 - (a ^ b).bit_count() / 128
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (f"{prints[i]:032x}", f"{edited:032x}")
+        assert got[i]["near_edited"] == alike(prints[i], edited) and got[i]["near_next"] == alike(prints[i], prints[(i + 1) % len(texts)])
+
+
 def test_block_tables_find_all_pairs(spark):
     r = random.Random(4)
     base = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(40)]
