@@ -20,18 +20,23 @@ import html as html_lib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskframe.llm.common import held, lean, slices
+
 TRAINING_PAGES = 900
 TREES, DEPTH, BINS, RATE = 60, 4, 32, 0.25
 
 # ---- parsing ------------------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_HEAD_END = re.compile(r"</head\s*>|<body[\s>]", re.I)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -78,6 +83,16 @@ def parse(source: str) -> Node:
     run: list[str] = []
     linked = inline_tags = 0
     in_link = 0
+    opened: Counter = Counter()  # tags of the open elements: what isn't open is never looked for up the tree
+    last_end = source.rfind(">")
+    heads_end = True
+
+    def rise(node):
+        """Closes all that is open below node."""
+        nonlocal top
+        while top is not node:
+            opened[top.tag] -= 1
+            top = top.parent
 
     def flush():
         nonlocal run, linked, inline_tags
@@ -101,7 +116,11 @@ def parse(source: str) -> Node:
                 linked += len(piece.strip())
         if begin == size:
             break
-        m = _TOKEN.match(source, begin)
+        # Without an end further on only comments and declarations go on to the end of the page; a tag whose quotes don't close ends at the
+        # next >, so that each character is looked at a few times only, whatever the page holds.
+        m = _TOKEN.match(source, begin) if begin < last_end or source.startswith(("!", "?"), begin + 1) else None
+        if m is None and begin < last_end:
+            m = _PLAIN_TAG.match(source, begin)
         if m is None:  # a lone <
             run.append("<")
             at = begin + 1
@@ -117,13 +136,15 @@ def parse(source: str) -> Node:
                 if tag == "br":
                     run.append(" ")
                 continue
+            if not opened[tag]:
+                continue
             node = top
             while node is not root and node.tag != tag and not (tag not in SCOPE and node.tag in SCOPE and node.tag not in ("td", "th")):
                 node = node.parent
             if node is not root and node.tag == tag:
                 flush()
                 in_link = 0
-                top = node.parent
+                rise(node.parent)
             continue
         if tag in RAW:
             if not m[3].endswith("/") or tag not in ("svg", "math"):
@@ -132,7 +153,8 @@ def parse(source: str) -> Node:
             run.append(" " if tag in ("svg", "math", "select", "textarea") else "")
             continue
         if tag == "head":
-            end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(source, at)
+            end = _HEAD_END.search(source, at) if heads_end else None
+            heads_end = end is not None
             if end:
                 at = end.start() if end[0].lower().startswith("<body") else end.end()
             continue
@@ -147,27 +169,28 @@ def parse(source: str) -> Node:
             continue
         flush()
         in_link = 0
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             node = top
             while node is not root and node.tag != "p" and node.tag not in SCOPE and node.tag not in ("div", "li", "blockquote"):
                 node = node.parent
             if node.tag == "p":
-                top = node.parent
+                rise(node.parent)
         if tag in SIBLING:
-            node = top
-            found = None
-            while node is not root and node.tag not in STOPS[tag]:
+            node, found, left = top, None, sum(opened[t] for t in SIBLING[tag])
+            while left and node is not root and node.tag not in STOPS[tag]:
                 if node.tag in SIBLING[tag]:
                     found = node
+                    left -= 1
                 node = node.parent
             if found is not None:
-                top = found.parent
+                rise(found.parent)
         if tag == "hr":
             continue
         tokens, hidden = attributes(m[3]) if m[3] else (frozenset(), False)
         if "-" in tag:
             tokens |= frozenset(_WORDS.findall(tag))
         top = Node(tag, tokens, hidden, top)
+        opened[tag] += 1
     flush()
     return root
 
@@ -504,13 +527,12 @@ def train(pages: int = TRAINING_PAGES, seed: int = 5) -> Boosted:
 
 def main_text(pages: DataFrame, model: Boosted, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """key_col, url_col, text, n_chars for each row. No shuffle; the model (TREES trees) travels with the task."""
-    narrow = pages.select(F.col(key_col).cast("long").cast("string").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    narrow = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def run(frames):
-        for f in frames:
-            for at in range(0, len(f), 200):
-                g = f.iloc[at : at + 200]
-                text = extract(g["html"].tolist(), model)
-                yield pd.DataFrame({key_col: pd.array([None if k is None else int(k) for k in g["key"].tolist()], "Int64"), url_col: g["url"].to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
+        held(("html",), dict)  # drops what an earlier stage has cached
+        for b in slices(frames, "html", 1 << 20):
+            text = extract(b["html"].to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([b["key"], b["url"], pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=[key_col, url_col, "text", "n_chars"])
 
-    return narrow.mapInPandas(run, f"{key_col} long, {url_col} string, text string, n_chars long")
+    return narrow.mapInArrow(lean(run), f"{key_col} long, {url_col} string, text string, n_chars long")

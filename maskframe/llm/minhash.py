@@ -135,11 +135,11 @@ class _Sets:
         return self.have[uid]
 
 
-def confirm(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def confirm(stars: DataFrame, texts: DataFrame, k: int, percent: int, files: int | None = None) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar. texts: uid, sig, ztext.
 
     The texts of all b travel to their a, in groups of BLOCK on average, so neither a frequent a nor its text is gathered in one task."""
-    sizes = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    sizes = materialize(stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "sizes", files)
     dealt = stars.join(sizes, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")), F.lit(0)).cast("int").alias("part"))
     wanted = dealt.select(F.col("b").alias("uid"), "a", "part", F.lit(1).alias("place")).unionByName(dealt.select(F.col("a").alias("uid"), "a", "part", F.lit(0).alias("place")).distinct())
     rows = texts.join(wanted, "uid").select("a", "part", "place", "uid", "sig", "ztext").repartition("a", "part").sortWithinPartitions("a", "part", "place")
@@ -210,8 +210,8 @@ def cross_links(buckets: DataFrame, texts: DataFrame, k: int, percent: int, file
     Pairs never become rows. The first pass finds by signatures which members of a bucket have a partner at all; only these get their
     texts, and the second pass compares and confirms pairs inside a bucket's blocks. A block's members that have been linked meanwhile
     aren't compared again."""
-    sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = buckets.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    sizes = materialize(buckets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "sizes", files)
+    rows = buckets.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     # A member goes to every pair of blocks that holds its own; with one block that is one row.
     rows = rows.select("key", "uid", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", "uid", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("int").alias("half"))
@@ -256,9 +256,11 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     others."""
     texts = bucketed(sign(docs, k, id_col, text_col, carry).withColumn("uid", F.monotonically_increasing_id()), "signed", "uid")
     n = texts.count()
-    files, heavy = files_for(n), files_for(n, 8_000)  # heavy: what carries texts or compares them
+    files, heavy = files_for(n), files_for(n, 8_000)  # heavy: keys, of which a row has 32, and what carries texts or compares them
     some = texts.where("n > 0")
-    classes = some.groupBy("c1", "c2", "n").agg(F.min("uid").alias("rep"))
+    # What is counted by a key is written before it is joined back on that key: then Spark can split the rows of a frequent one.
+    classes = some.groupBy("c1", "c2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
+    classes = materialize(classes, "classes", files)
     columns = ["uid", "doc_id", "n", *(f"carry{i}" for i in range(len(carry)))]
     members = materialize(texts.select(*columns, "c1", "c2").join(classes, ["c1", "c2", "n"], "left").select(*columns, F.coalesce("rep", "uid").alias("rep")), "members", files)
     reps = members.where("n > 0 and uid = rep").select("uid")
@@ -270,17 +272,18 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b["uid"].to_numpy(), SYMBOLS))], names=["key", "uid"])
 
     table = some.select("uid", "sig").join(reps, "uid", "left_semi").mapInArrow(lean(index), "key long, uid long")
-    full = table.groupBy("key").agg(F.count("*").alias("size"), F.min("uid").alias("first")).where("size > 1").select("key", "first")
-    shared = materialize(table.join(full, "key"), "shared", files)
+    full = materialize(table.groupBy("key").agg(F.count("*").alias("size"), F.min("uid").alias("first")).where("size > 1").select("key", "first"), "full", heavy)
+    shared = materialize(table.join(full, "key"), "shared", heavy)
     stars = shared.where("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct()
-    found = materialize(confirm(stars, some, k, percent), "links", heavy)
-    known = components(found, files)
+    found = materialize(confirm(stars, some, k, percent, heavy), "links", heavy)
+    known = components(found, heavy)
     at = shared.select("key", "uid").join(known.select(F.col("node").alias("uid"), F.col("root").alias("comp")), "uid", "left").select("key", "uid", F.coalesce("comp", "uid").alias("comp"))
     mixed = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    buckets = materialize(at.join(mixed, "key"), "buckets", files)
+    mixed = materialize(mixed, "mixed", heavy)
+    buckets = materialize(at.join(mixed, "key"), "buckets", heavy)
     more = cross_links(buckets, some, k, percent, heavy)
-    joined = components(more, files)
-    spent(texts, shared, found, buckets, more)
+    joined = components(more, heavy)
+    spent(texts, classes, full, shared, found, mixed, buckets, more)
     out = members.join(known.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
     out = out.drop("root").join(joined.select(F.col("node").alias("comp"), "root"), "comp", "left")
     out = materialize(out.select(*columns, F.coalesce("root", "comp").alias("comp")), "linked", files)
@@ -291,9 +294,10 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     rows = link(docs, k, percent, id_col, text_col)
-    small = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").select("comp", "component_id")
+    files = files_for(rows.count())
+    small = materialize(rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").select("comp", "component_id"), "small", files)
     out = rows.join(small, "comp", "left").withColumn("component_id", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.coalesce(files).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,6 +307,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     rows = link(told, k, percent, id_col, text_col, (file, row))
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("carry0"), F.col("carry1"))
     first = rows.groupBy("comp").agg(F.min(rank).alias("stays"), F.count("*").alias("size")).where("size > 1").select("comp", "stays")
+    first = materialize(first, "stay", files_for(rows.count()))
     gone = rows.join(first, "comp").where(rank != F.col("stays")).select("carry0", "carry1")
     stay = told.join(gone, (told[file] == gone["carry0"]) & (told[row] == gone["carry1"]), "left_anti")
     return split_like(stay.select(*(told[f"`{c}`"] for c in told.columns[:-2])), told)

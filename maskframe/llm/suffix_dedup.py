@@ -241,7 +241,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     files, heavy = files_for(n), files_for(n, 8_000)  # heavy: what carries bytes of texts
     own = F.struct(*ROW)
     told = rows.select(*ROW, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    copies = told.groupBy("sha").agg(F.min(own).alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    # Written first, here and below, so that Spark can split the rows of a frequent text or key in the join.
+    copies = materialize(told.groupBy("sha").agg(F.min(own).alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copies", files)
     meta = materialize(told.join(copies, "sha", "left").select(*ROW, "n_bytes", "sha", F.coalesce("copies", F.lit(1)).alias("copies"), (F.coalesce("rep", own) == own).alias("first")), "meta", files)
     others = meta.where("not first").select(*ROW)
 
@@ -254,7 +255,6 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     found = rows.where(F.octet_length("text") >= length).select(*ROW, "text").mapInArrow(lean(find), f"{_IDS}, keys array<long>")
     found = materialize(found.join(others, ROW, "left_anti"), "anchors", heavy)
     keys = found.select(*ROW, F.explode("keys").alias("key"))
-    # Written first, so that Spark can split a frequent key in the join.
     twice = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot")), "twice", heavy)
     wanted = keys.join(twice, "key").groupBy(*ROW).agg(F.collect_set(F.when(~F.col("hot"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
 
@@ -282,7 +282,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, hot: int =
 
     around = rows.join(wanted, ROW).select(*ROW, "text", "keys", "hot_keys").mapInArrow(lean(contexts), f"{_IDS}, key long, first long, place int, context binary, hot boolean")
     around = materialize(around, "contexts", heavy)
-    spent(found, twice)
+    spent(copies, found, twice)
 
     def compare(frames):
         rest = None

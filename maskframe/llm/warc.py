@@ -13,6 +13,7 @@ payloads is chosen; of rows with equal key and payload one is the response; an e
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 import zlib
@@ -20,11 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import materialize, placed
+from maskframe.llm.common import lean, materialize, placed, slices
 
 #: The header fields of the two ARC versions, as their version blocks list them.
 ARC_FIELDS = {
@@ -178,7 +179,8 @@ def first_rows(rows: DataFrame, least: int) -> DataFrame:
     """uid and refers_to, refers_uid of the rows whose payload (digest, size) another row holds first."""
     rank = F.struct(F.col("key").isNull(), F.col("key"), F.col("uid"))
     firsts = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min(rank).alias("f"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("digest", F.col("f.key").alias("refers_to"), F.col("f.uid").alias("refers_uid"))
+    # Written first, so that Spark can split the rows of a frequent payload in the join.
+    firsts = materialize(firsts.select("digest", F.col("f.key").alias("refers_to"), F.col("f.uid").alias("refers_uid")), "firsts")
     return rows.where(F.col("size") >= least).select("uid", "digest").join(firsts, "digest").where(F.col("uid") != F.col("refers_uid")).select("uid", "refers_to", "refers_uid")
 
 
@@ -194,8 +196,8 @@ def write_archives(pages: DataFrame, key_col: str = "page_id", url_col: str = "u
 
     def run(frames):
         name, segment, have, size = uuid.uuid4().hex, 0, [], 0
-        for f in frames:
-            for uid, key, url, html, to, to_uid in f.itertuples(index=False):
+        for b in slices(frames, "html"):
+            for uid, key, url, html, to, to_uid in zip(*(b[c].to_pylist() for c in ("uid", "key", "url", "html", "refers_to", "refers_uid")), strict=True):
                 row = f"{uid}:{'' if key is None else key}"
                 version = 1 + segment % 2
                 legacy = arc_file_header(version, name) + arc_record(version, arc_url(url, row), http_response(html.encode("utf-8", "replace")), name=name)
@@ -205,12 +207,16 @@ def write_archives(pages: DataFrame, key_col: str = "page_id", url_col: str = "u
                 have.append(data)
                 size += len(data)
                 if size >= segment_bytes:
-                    yield pd.DataFrame({"name": [name], "segment": [segment], "data": [b"".join(have)]})
+                    yield _segment([(name, segment, b"".join(have))])
                     segment, have, size = segment + 1, [], 0
         if have:
-            yield pd.DataFrame({"name": [name], "segment": [segment], "data": [b"".join(have)]})
+            yield _segment([(name, segment, b"".join(have))])
 
-    return materialize(joined.mapInPandas(run, "name string, segment int, data binary"), "warc")
+    return materialize(joined.mapInArrow(lean(run), "name string, segment int, data binary"), "warc")
+
+
+def _segment(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["name", "segment", "data"])
 
 
 def read_archives(archives: DataFrame, key_col: str = "page_id") -> DataFrame:
@@ -221,11 +227,14 @@ def read_archives(archives: DataFrame, key_col: str = "page_id") -> DataFrame:
     def number(row: str):
         return int(row.split(":")[1]) if row.split(":")[1] else None
 
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    names = [key_col, "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "warc_date"]
+
     def run(frames):
-        for f in frames:
-            for data in f["data"]:
+        for b in frames:
+            for data in b["data"]:
                 rows = []
-                for member in members(data):
+                for member in members(data.as_py()):
                     for r in parse_warc(member):
                         h = r.headers
                         declared, size = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"])
@@ -235,10 +244,51 @@ def read_archives(archives: DataFrame, key_col: str = "page_id") -> DataFrame:
                                 raise ValueError(f"damaged record {h['WARC-Record-ID']}")
                         to = h.get("X-Refers-To-Row")
                         rows.append((number(h["X-Row"]), size, declared, h["WARC-Type"], None if to is None else number(to), h["WARC-Target-URI"], h["WARC-Date"]))
-                out = pd.DataFrame(rows, columns=[key_col, "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "warc_date"])
-                yield out.astype({key_col: "Int64", "refers_to": "Int64"})
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return archives.mapInArrow(lean(run), f"{key_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, warc_date string")
+
 
-    return archives.mapInPandas(run, f"{key_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, warc_date string")
+def convert_files(spark: SparkSession, path: str, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Archives (name, segment, data) with the records of the ARC files at path, plain or as gzip members. Each file is read by one task, whole; a
+    record's row is its file and number."""
+
+    def run(frames):
+        for b in frames:
+            for at, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+                name, segment, have, size = hashlib.sha256(at.encode()).hexdigest()[:32], 0, [], 0
+                data = b"".join(members(content)) if content.startswith(b"\x1f\x8b") else content
+                for number, arc in enumerate(parse_arc(data)):
+                    have.append(gzipped(to_warc(arc, f"{name}-{number}:").encode()))
+                    size += len(have[-1])
+                    if size >= segment_bytes:
+                        yield _segment([(name, segment, b"".join(have))])
+                        segment, have, size = segment + 1, [], 0
+                if have:
+                    yield _segment([(name, segment, b"".join(have))])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return materialize(files.mapInArrow(lean(run), "name string, segment int, data binary"), "warc")
+
+
+def export(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes each segment as <name>-<segment>.warc.gz to a folder that all executors share, whole or not at all; returns their paths. A task that
+    runs again writes the same files again."""
+
+    def run(frames):
+        os.makedirs(folder, exist_ok=True)
+        for b in frames:
+            paths = []
+            for name, segment, data in zip(*(b[c].to_pylist() for c in ("name", "segment", "data")), strict=True):
+                paths.append(f"{folder}/{name}-{segment:05}.warc.gz")
+                part = f"{paths[-1]}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, paths[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    return archives.mapInArrow(run, "path string")
 
 
 ORACLE_SQL = """

@@ -1,5 +1,9 @@
+import itertools
+import math
 import random
+import time
 
+import numpy as np
 import pytest
 
 from maskframe.llm import html_extract as H
@@ -39,6 +43,32 @@ def test_held_out_pages(model):
     assert hit / (hit + wrong) > 0.98 and hit / (hit + missed) > 0.97
 
 
+def test_decoding_is_the_likeliest_of_all_labellings():
+    r = random.Random(2)
+    for _ in range(60):
+        root = H.Node("#root", frozenset(), False, None)
+        nodes = [root]
+        for _ in range(r.randint(0, 8)):
+            nodes.append(H.Node("div", frozenset(), False, r.choice(nodes)))
+        nodes = H.listed(root)
+        odds = np.array([r.gauss(0, 2) for _ in nodes])
+        parent = [next((i for i, x in enumerate(nodes) if x is n.parent), None) for n in nodes]
+        allowed = [y for y in itertools.product([True, False], repeat=len(nodes)) if y[0] and all(not k or p is None or y[p] for k, p in zip(y, parent, strict=True))]
+        value = lambda y: sum(-math.log1p(math.exp(-o if k else o)) for k, o in zip(y[1:], odds[1:].tolist(), strict=True))  # noqa: E731, B023
+        got = H.decode(nodes, odds)
+        assert tuple(got) in allowed and value(got) == pytest.approx(max(map(value, allowed)))
+
+
+@pytest.mark.parametrize(
+    "unit", ["<a ", "<a '", "<a \"<b>", "<head>", "<head><p>x", "</zz>", "<ul>", "<li>", "<div></zz>", "<td><div>", "<!-", "<!--", "<p", "&amp", "<script>", "<svg/>", "<p><button><ul>", "x<y> \"' ", "<a b=\"c' >"]
+)
+def test_hostile_pages_take_linear_time(model, unit):
+    page = "<div>" * 1000 + unit * (1_000_000 // len(unit) // 4)
+    began = time.time()
+    H.extract([page], model)
+    assert time.time() - began < 30
+
+
 def test_rows(spark, model):
     df = spark.createDataFrame([(1, "u", "<p>x y</p>", 9), (1, "u", "<p>x y</p>", 9), (None, None, None, 9)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, H.main_text(df, model).collect()), key=str) == [(1, "u", "x y", 3), (1, "u", "x y", 3), (None, None, "", 0)]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -68,6 +69,23 @@ def test_long_texts_in_chunks(monkeypatch):
     assert windows(whole) == windows(parts)
 
 
+def test_degenerate_texts(spark):
+    """Long runs of one letter choose an anchor at every byte; periodic texts choose few keys very often."""
+    rows = [(1, "a" * 300_000), (2, "ab" * 40_000 + "x"), (3, "plain " * 10 + "words")]
+    began = time.time()
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (300_000, 1), 2: (80_000, 1), 3: (0, 0)}
+    assert time.time() - began < 90
+
+
+def test_clashing_names(spark):
+    rows = [(1, "x" * 50 + "q" * 10 + "word " * 60, 1, 2, 3, 4), (2, "word " * 60 + "tail", 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __spans int, spans int, file int, __at int")
+    got = S.clean(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == {(1, "x" * 50 + "q" * 10, 1, 2, 3, 4), (2, "tail", 5, 6, 7, 8)}
+
+
 def test_clean_keeps_whole_code_points(spark, odd_docs):
     shared = "ö" * 120
     docs = spark.createDataFrame([(1, "a" + shared + "b", 9), (2, "ä" + shared + "ü", 9), (3, None, None), (4, "short", 5)], "doc_id long, text string, n_chars long").coalesce(1)

@@ -2,6 +2,8 @@ import random
 import re
 import zlib
 
+import sentencepiece
+
 from maskframe.llm import quality, toxicity
 from maskframe.llm.queries import tokenizer_path
 
@@ -32,6 +34,85 @@ def test_quality_against_brute_force(spark, odd_docs, no_docs):
     assert quality.score(no_docs, MODEL).count() == 0
 
 
+def plain_quality(text, lang, bands):
+    """Measures and verdict with one look at each word, nothing cached."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    ids = [i for w in words for i in sp.encode(w)]
+    if not ids:
+        return 0, 0.0, 0.0, 0.0, False
+    shares = [n / len(ids) for n in Counter(ids).values()]
+    chars, fallback, entropy = sum(map(len, words)) / len(ids), sum(map(sp.is_byte, ids)) / len(ids), -sum(p * math.log2(p) for p in shares)
+    band = bands.lang.get(lang)
+    if band is None:
+        seen = Counter()
+        for c in text:
+            if c.isalpha():
+                name = "LATIN" if c.isascii() else unicodedata.name(c, "OTHER").split(" ")[0]
+                seen[name if name in bands.script else "OTHER"] += 1
+        band = bands.script[max(sorted(seen), key=seen.get) if seen else "OTHER"]
+    x = math.log2(max(len(ids), 2))
+    if band.curve:
+        inside = min(max(x, band.span[0]), band.span[1])
+        floor = sum(c * inside ** (len(band.curve) - 1 - i) for i, c in enumerate(band.curve))
+    else:
+        floor = min(band.entropy, band.spread * x)
+    kept = not base(text)[-1] and band.chars_low <= chars <= band.chars_high and fallback <= band.fallback_high and entropy >= floor
+    return len(ids), chars, fallback, entropy, kept
+
+
+def same_measures(got, want):
+    return got[0] == want[0] and all(abs(a - b) < 1e-9 for a, b in zip(got[1:4], want[1:4], strict=True)) and got[4] == want[4]
+
+
+def test_quality_measures_against_plain_counts(spark, odd_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    odd = odd_docs.select("doc_id", "text", "lang")
+    for df, bands in ((docs.select("doc_id", "text", "lang"), quality.learn(docs, labels, MODEL)), (odd, quality.FIXED)):
+        texts = sorted(df.collect(), key=str)
+        got = sorted(zip(texts, quality.judge([r["text"] for r in texts], [r["lang"] for r in texts], MODEL, bands), strict=True), key=str)
+        assert all(same_measures(g[6:], plain_quality(r["text"], r["lang"], bands)) for r, g in got)
+        assert sorted((str(tuple(r)) for r in quality.score(df, MODEL, bands=bands).select("doc_id", "kept").collect())) == sorted(str((r["doc_id"], g[-1])) for r, g in got)
+
+
+def plain_score(text, lexicon):
+    """The score with a search for every stem and phrase, without a tree."""
+    import math
+
+    folded = toxicity.fold(text or "")
+    spared = [(m.start(), m.start() + len(p) + 1) for p in lexicon.exceptions for m in re.finditer(f"(?= {re.escape(p)} )", folded)]
+    total = 0.0
+    for m in re.finditer(r" (?=\S)", folded):
+        at = m.start()
+        stems = [s for s in lexicon.stems if folded.startswith(s, at + 1)]
+        if stems and not any(a <= at < b for a, b in spared):
+            total += lexicon.stems[max(stems, key=len)]
+    value = lexicon.bias + lexicon.scale * total / (1 + math.log1p(len(folded) / lexicon.tau))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, value))))
+
+
+def test_toxicity_against_plain_search(spark, odd_docs):
+    docs, labels, _ = labelled(spark)
+    lex = toxicity.learn(docs, labels)
+    assert lex.stems and lex.exceptions
+    more = spark.createDataFrame([(9000, "m0ron1 trash you are trash can a trash"), (9001, "TR4SH! can. a trash, can"), (9002, "trashy trash-can mоron3")], docs.schema)
+    for df in (docs.unionByName(more), odd_docs.select("doc_id", "text")):
+        texts = {(r["doc_id"], r["text"]) for r in df.collect()}
+        got = {(r["doc_id"], round(r["score"], 9)) for r in toxicity.score(df, lex).collect()}
+        assert got == {(i, round(plain_score(t, lex), 9)) for i, t in texts}
+
+
+def test_sample_ends_where_it_is_full(spark):
+    docs, labels, _ = labelled(spark)
+    assert toxicity.learn(docs, labels, sample_chars=10) == toxicity.fit([])
+    assert toxicity.learn(docs, labels, sample_chars=3000) != toxicity.learn(docs, labels)
+
+
 def test_quality_verdicts(spark):
     english = "The committee met on Tuesday to discuss the new proposal, which several members had already read. After a long debate they agreed that more evidence was needed before any decision could be made, and asked the office to prepare a report for the next session in the spring, when all the members would return."
     spam = "zq### xv*** " * 40
