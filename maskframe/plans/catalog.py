@@ -18,7 +18,7 @@ from maskframe.operators import provider, quality
 from maskframe.plans import classify as C
 from maskframe.plans import profile as P
 from maskframe.plans.settle import settled, shared_dir
-from maskframe.streaming.apply import grow_mapping, versions
+from maskframe.streaming.apply import grow_mapping, mask_stream, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,6 +169,40 @@ def _q09(spark, sf_dir):
     return M.last_wins(df, "c_custkey")
 
 
+@query("q82_mapping_saved_and_loaded", f"""
+WITH d AS (SELECT c_mktsegment AS v, min(c_custkey) AS p FROM customer GROUP BY 1) SELECT 'c_mktsegment' AS scope, v AS original, {_CYCLE.format(v='v', o='p')} AS replacement FROM d""")
+def _q82(spark, sf_dir):
+    path = f"{shared_dir(spark)}/mapping-{uuid.uuid4().hex}"
+    M.save(M.rotation(read(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey"), path)
+    return settled(M.load(spark, path))
+
+
+@query("q83_unknown_values_hashed", """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'X' ELSE substr(sha256(o_orderstatus), 1, 12) END AS o_orderstatus FROM orders""")
+def _q83(spark, sf_dir):
+    known = spark.createDataFrame([("o_orderstatus", "F", "X")], M.SCHEMA)
+    return M.apply(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", known, "o_orderstatus", "hash")
+
+
+@query("q84_own_masker", "SELECT s_suppkey, s_name AS original, repeat('*', length(s_name)) AS masked FROM supplier")
+def _q84(spark, sf_dir):
+    maskers.register_masker("stars", lambda q, v: f"repeat('*', length({v}))")
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("original")).withColumn("masked", maskers.mask("stars", "original"))
+
+
+@query("q85_stream_masked", f"""
+WITH d AS (SELECT c_mktsegment AS v, min(c_custkey) AS p FROM customer GROUP BY 1), m AS (SELECT v, {_CYCLE.format(v='v', o='p')} AS r FROM d)
+SELECT c_custkey, {maskers.masker('phone')(DUCK, 'p0')} AS phone, r AS c_mktsegment FROM (SELECT *, {PHONE} AS p0 FROM customer) c JOIN m ON c_mktsegment = v""")
+def _q85(spark, sf_dir):
+    """A stream over the table's files, run to their end."""
+    df, at = read(spark, sf_dir, "customer"), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    mapping = settled(M.rotation(df, "c_mktsegment", "c_custkey"))
+    stream = spark.readStream.schema(df.schema).parquet(f"{sf_dir}/customer.parquet*").select("c_custkey", F.expr(PHONE).alias("phone"), "c_mktsegment")
+    masked = mask_stream(Engine(spark), stream, "customer", {("customer", "phone"): "phone", ("customer", "c_mktsegment"): "genre"}, mapping)
+    masked.writeStream.format("parquet").option("path", at).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(masked.schema).parquet(at)
+
+
 # ---- profiles and classification ----------------------------------------------------------------------------------------
 
 #: All scalar columns of four tables. Engines write fractions differently, so these are read as decimals.
@@ -457,6 +491,35 @@ def _q51(spark, sf_dir):
     return _dump_of(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_mktsegment"]).drop("seq")
 
 
+_ENCODINGS = ["utf-8", "utf-8-sig", "cp1251", "koi8-r", "latin-1"]
+_PREFIX = {"utf-8": "Ж", "utf-8-sig": "Ж", "cp1251": "Ж", "koi8-r": "Ж", "latin-1": "é"}
+
+
+@query("q80_dump_encodings", "SELECT e AS encoding, CAST(n_nationkey AS VARCHAR) AS n_nationkey, concat(p, n_name) AS n_name FROM nation CROSS JOIN (VALUES " + ", ".join(f"('{e}', '{p}')" for e, p in _PREFIX.items()) + ") t(e, p)")
+def _q80(spark, sf_dir):
+    """Dumps of a table in several encodings, which the reader has to find out."""
+    from maskframe.sources.dumps import as_table, read as read_dump
+    from maskframe.sources.sqldump import SqlDump
+
+    spark.dataSource.register(SqlDump)
+    out, paths = None, []
+    for e in _ENCODINGS:
+        names = {"utf-8": "utf8mb4", "utf-8-sig": "utf8", "cp1251": "cp1251", "koi8-r": "koi8r", "latin-1": "latin1"}
+        df = read(spark, sf_dir, "nation")
+        rows = df.select(F.col("n_nationkey").cast("long").alias("seq"), F.lit("row").alias("kind"), F.concat(F.lit("INSERT INTO `nation` (`n_nationkey`, `n_name`) VALUES ("), F.col("n_nationkey").cast("string"), F.lit(f", '{_PREFIX[e]}"), literals.escape(F.col("n_name")), F.lit("');\n")).alias("raw"))
+        head = spark.createDataFrame([(-1, "text", f"SET NAMES '{names[e]}';\n")], "seq long, kind string, raw string")
+        paths.append(f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}.sql")
+        head.unionByName(rows).repartitionByRange("seq").sortWithinPartitions("seq").write.format("sqldump").mode("append").option("path", paths[-1]).option("encoding", e).save()
+        one = as_table(read_dump(spark, paths[-1]), "nation", ["n_nationkey", "n_name"]).drop("seq").select(F.lit(e).alias("encoding"), "*")
+        out = one if out is None else out.unionByName(one)
+    return _taken(out, *paths)
+
+
+@query("q81_dump_row_counts", "SELECT 'customer' AS tbl, count(*) AS n FROM customer")
+def _q81(spark, sf_dir):
+    return _dump_of(spark, sf_dir, "customer", ["c_custkey", "c_name"]).agg(F.count("*").alias("n")).select(F.lit("customer").alias("tbl"), "n")
+
+
 _BODIES = ["O''Brien", r"a\'b", r"back\\slash", r"line\nend", r"tab\tx", r"odd\q", "plain", "", "x''"]
 _BODY_ROWS = ", ".join(f"({i}, '{b.replace(chr(39), chr(39) * 2)}')" for i, b in enumerate(_BODIES))
 
