@@ -39,7 +39,7 @@ def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"maskframe_{label}_{uuid.uuid4().hex}"
     at = f"{shared_dir(spark).rstrip('/')}/{name}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(spark.conf.get(c)) for c in ("spark.sql.shuffle.partitions", "spark.sql.sources.bucketing.maxBuckets"))
     df.repartition(n, key).write.bucketBy(n, key).option("path", at).option("compression", "zstd").format("parquet").saveAsTable(name)
     path = _path(spark, at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)

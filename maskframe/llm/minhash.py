@@ -142,7 +142,7 @@ def confirm(stars: DataFrame, texts: DataFrame, k: int, percent: int, files: int
     sizes = materialize(stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "sizes", files)
     dealt = stars.join(sizes, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")), F.lit(0)).cast("int").alias("part"))
     wanted = dealt.select(F.col("b").alias("uid"), "a", "part", F.lit(1).alias("place")).unionByName(dealt.select(F.col("a").alias("uid"), "a", "part", F.lit(0).alias("place")).distinct())
-    rows = texts.join(wanted, "uid").select("a", "part", "place", "uid", "sig", "ztext").repartition("a", "part").sortWithinPartitions("a", "part", "place")
+    rows = texts.join(wanted, "uid").select("a", "part", "place", "uid", "sig", "ztext").repartition(*([files] if files else []), "a", "part").sortWithinPartitions("a", "part", "place")
     least = percent / 100 - SLACK
 
     def run(frames):
@@ -218,7 +218,8 @@ def cross_links(buckets: DataFrame, texts: DataFrame, k: int, percent: int, file
     columns = ["key", "i", "j", "uid", "comp", "half"]
 
     def dealt(df):
-        return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        # By a number, as comparing takes longer than the size of the rows tells.
+        return df.repartition(*([files] if files else []), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def partnered(frames):
         for g in _groups(frames):
