@@ -361,11 +361,13 @@ def _q64(spark, sf_dir):
 
 
 _HELPERS = [("a@b.de", "c@d.de"), ("AC-1", "BD-2"), ("Tom Hall", "tim Dunn"), ("Lord of Rings", "Song Of Rain"), ("abcd", "xyzw"), ("2024-01-05", "2023-01-05"), ("A B", "A")]
+_PARTICLES = ", ".join(f"'{w}'" for w in validate.PARTICLES)
 _HELPER_ROWS = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_HELPERS))
 
 
 @query("q49_helper_predicates", f"""SELECT i, (regexp_matches(a, '{validate.EMAIL}') OR regexp_matches(a, '{validate.DATE_LIKE}') OR (regexp_matches(a, '[0-9]') AND regexp_matches(a, '[-/. ]'))) AS mask_like,
-NOT regexp_matches(a, '[A-Za-z]{{4}}') AS code_like, i = 2 AS case_violated, regexp_replace(a, '[A-Za-z0-9]', '', 'g') AS skeleton FROM (VALUES {_HELPER_ROWS}) t(i, a, b)""")
+NOT regexp_matches(a, '[A-Za-z]{{4}}') AS code_like, len(x) = len(y) AND len(list_filter(range(1, len(x) + 1), lambda k: lower(x[k]) NOT IN ({_PARTICLES}) AND lower(y[k]) NOT IN ({_PARTICLES}) AND (x[k][1] <> lower(x[k][1])) <> (y[k][1] <> lower(y[k][1])))) > 0 AS case_violated,
+regexp_replace(a, '[A-Za-z0-9]', '', 'g') AS skeleton FROM (SELECT *, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM (VALUES {_HELPER_ROWS}) t(i, a, b))""")
 def _q49(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(_HELPERS)], "i int, a string, b string")

@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from maskframe.functions.literals import LITERAL, escape_text, same_class, unescape_text
 
 # Charset names of dumps, and the hints that announce one.
-CHARSETS = {"utf8mb4": "utf-8", "utf8mb3": "utf-8", "utf8": "utf-8", "latin1": "cp1252", "1251": "cp1251", "win1251": "cp1251", "windows-1251": "cp1251", "koi8r": "koi8-r"}
+CHARSETS = {"utf8mb4": "utf-8", "utf8mb3": "utf-8", "utf8": "utf-8", "latin1": "cp1252", "latin": "cp1252", "iso-8859-1": "cp1252", "maccyr": "mac-cyrillic", "1251": "cp1251", "win1251": "cp1251", "windows-1251": "cp1251", "koi8r": "koi8-r"}
 _HINTS = [re.compile(rb"SET\s+NAMES\s+'?\"?([\w-]+)", re.I), re.compile(rb"DEFAULT\s+CHARSET\s*=\s*([\w-]+)", re.I), re.compile(rb"--\s*Charset:\s*([\w-]+)", re.I)]
 _HEADER = re.compile(r"INSERT\s+(?:IGNORE\s+)?INTO\s+`?([^`\s(]+)`?\s*(\((?:[^()`]|`[^`]*`)*\))?\s*VALUES\s*", re.I)
 _QUOTED = re.compile(r"'(?:[^'\\]++|\\.|'')*+'|\"(?:[^\"\\]++|\\.|\"\")*+\"|`[^`]*+`", re.S)
@@ -36,7 +36,8 @@ SCHEMA = "seq long, kind string, table string, columns array<string>, row long,
 
 def charset(name: str) -> str | None:
     """Python's name of a charset as dumps call it."""
-    name = CHARSETS.get(name.strip().lower(), name.strip().lower())
+    name = name.strip().lower().replace("_", "-")
+    name = CHARSETS.get(name, name)
     try:
         return codecs.lookup(name).name
     except LookupError:

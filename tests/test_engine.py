@@ -110,6 +110,15 @@ def test_dump_with_nested_calls_and_empty_tokens(spark, tmp_path):
     assert all(a != b for a, b in zip(before, after, strict=True)) and "f(g(2))" in text and "(5,," in text
 
 
+def test_dump_rows_of_other_lengths(spark, tmp_path):
+    """Values beyond the named columns stay, and so do rows that end before them."""
+    dump = "INSERT INTO `p` (`id`, `name`) VALUES (1, 'Bob', 'extra'),(2),(3, 'Tim'),();\n"
+    path, out = tmp_path / "d.sql", tmp_path / "o.sql"
+    path.write_text(dump)
+    assert dumps.mask_dump(spark, str(path), str(out), Engine(spark, Config({"p.name": "name"}))) == 4
+    assert out.read_text() == "INSERT INTO `p` (`id`, `name`) VALUES (1, 'Tim', 'extra'),(2),(3, 'Bob'),();\n"
+
+
 @pytest.mark.parametrize("values", ["(1, 'a'", "(1, 'a);\n", "(1, f(2);\n", "(1) x (2);\n", "(1) (2);\n", "x;\n"])
 def test_dump_that_cannot_be_parsed(values):
     with pytest.raises(ValueError):
@@ -129,7 +138,7 @@ def test_encodings():
     assert sqldump.sniff(text.encode("cp1251")) == "cp1251"
     assert sqldump.sniff(b"\xef\xbb\xbfabc") == "utf-8-sig"
     assert sqldump.sniff("naïve €".encode()[:-1]) == "utf-8"
-    assert sqldump.charset("utf8mb4") == "utf-8" and sqldump.charset("nonsense") is None
+    assert sqldump.charset("utf8mb4") == "utf-8" and sqldump.charset("ISO_8859-1") == "cp1252" and sqldump.charset("maccyr") == "mac-cyrillic" and sqldump.charset("nonsense") is None
 
 
 def test_provider(spark):
