@@ -53,26 +53,36 @@ def is_skip_column(column: str) -> bool:
     return re.search(SKIP_NAMES, column.lower()) is not None
 
 
+#: Longer values are looked at where they are read, and only their hashes and flags are shuffled.
+SHORT = 64
+
+
 def flags(df: DataFrame, columns: list[str]) -> DataFrame:
     """For each column: n, at_sign, dates, colon, phones, numeric (counts of distinct values; numbers are told apart as numbers).
 
-    Values are looked at where they are read; only their 128-bit hashes and flags are shuffled, once for each different value of a task."""
+    Short values are made distinct first and looked at then. Long ones, which are seldom repeated, are looked at where they are read; what
+    is shuffled of them is a 128-bit hash with the flags."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
     def cell(c):
         x = F.col(f"`{c}`")
         if isinstance(kinds[c], T.FractionalType):
             finite = x.isNotNull() & ~F.isnan(x.cast("double"))
-            return F.struct(F.lit(c).alias("column"), F.when(finite, F.lit("0")).alias("value"), F.xxhash64(x).alias("h1"), F.lit(0).cast("long").alias("h2"))
+            return F.struct(F.lit(c).alias("column"), F.when(finite, F.lit("0")).alias("value"), F.xxhash64(x).alias("number"))
         v = F.trim(x.cast("string"))
-        return F.struct(F.lit(c).alias("column"), F.when(v != "", v).alias("value"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"))
+        return F.struct(F.lit(c).alias("column"), F.when(v != "", v).alias("value"), F.lit(None).cast("long").alias("number"))
+
+    def told(v):
+        digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
+        return {"at_sign": v.contains("@"), "dates": v.rlike(DATE), "colon": v.contains(":"), "phones": v.rlike(PHONE) & (digits >= 7), "numeric": v.rlike(NUMERIC)}
 
-    v = F.col("value")
-    digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
-    told = {"at_sign": v.contains("@"), "dates": v.rlike(DATE), "colon": v.contains(":"), "phones": v.rlike(PHONE) & (digits >= 7), "numeric": v.rlike(NUMERIC)}
+    value = F.col("value")
+    long_ = F.length(value) > SHORT
     cells = df.select(F.explode(F.array(*map(cell, columns))).alias("c")).select("c.*").where("value is not null")
-    one = cells.select("column", "h1", "h2", *(t.alias(n) for n, t in told.items())).distinct()
-    return one.groupBy("column").agg(F.count("*").alias("n"), *(F.count_if(n).alias(n) for n in told))
+    hashes = [F.when(long_, F.xxhash64(F.lit(i), value)).alias(f"h{i}") for i in (1, 2)]
+    one = cells.select("column", "number", F.when(~long_, value).alias("value"), *hashes, *(F.when(long_, t).alias(n) for n, t in told(value).items())).distinct()
+    one = one.select("column", *(F.coalesce(n, t).alias(n) for n, t in told(value).items()))
+    return one.groupBy("column").agg(F.count("*").alias("n"), *(F.count_if(n).alias(n) for n in told(value)))
 
 
 def classify(df: DataFrame, table: str, rules: dict[str, str] | None = None, min_distinct: int = 2) -> DataFrame:
