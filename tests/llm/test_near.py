@@ -159,7 +159,7 @@ def plain_simhash(text):
 
 
 def test_fingerprints_against_plain_votes(spark):
-    texts = ["", " \n ", "One", "one  TWO\tthree", prose(1, 80), prose(1, 79) + " other", "Größe 漢字 ÉTÉ 😀 ok " * 9, "a" * 70, prose(5, 3000)]
+    texts = ["", " \n ", "One", "one  TWO\tthree", prose(1, 80), prose(1, 79) + " other", "Größe 漢字 ÉTÉ 😀 ok " * 9, "a" * 70, prose(5, 3000), "heavyheavyheavyheavy " * 5000]
     rows = list(enumerate(texts))
     got = {r["doc_id"]: r for r in simhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     prints = [plain_simhash(t) for t in texts]
