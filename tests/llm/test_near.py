@@ -196,20 +196,35 @@ def test_near_copies_are_linked(spark):
     prints = sorted({p for x in base for p in (x, *(flip(x, n) for n in (4, 8, 10, 12, 18, 30)))})
     halves = [tuple(v - 2**64 if v >= 2**63 else v for v in (p >> 64, p & (2**64 - 1))) for p in prints]
     df = spark.createDataFrame(halves, "f1 long, f2 long")
-    blocks = lambda x: [(x >> 64 * (1 - h) >> s) & 255 for h in (0, 1) for s in range(0, 64, 8)]
-    all_, found = defaultdict(int), defaultdict(int)
+    all_ = defaultdict(int)
     for i, p in enumerate(prints):
-        for j, q in enumerate(prints):
-            if 0 < (p ^ q).bit_count() <= 18:
-                all_[halves[i]] += 1
-                same = [x == y for x, y in zip(blocks(p), blocks(q), strict=True)]
-                found[halves[i]] += any(sum(same[a:b]) >= 3 for a, b in ((0, 8), (8, 16)))
+        for q in prints:
+            all_[halves[i]] += 0 < (p ^ q).bit_count() <= 18
     for chunk in (256, 2):
         got = {(x["f1"], x["f2"]): x["n_links"] for x in simhash.near_links(df, chunk=chunk).collect()}
-        assert got == {k: n for k, n in found.items() if n}
-    assert sum(found.values()) >= 0.8 * sum(all_.values()) > 0
+        assert got == {k: n for k, n in all_.items() if n}
     exact = simhash.near_pairs(df, 18).collect()
     assert 2 * len(exact) == sum(all_.values())
     text = prose(1, 400)
     docs = spark.createDataFrame([(i, edited(i, text, 2 * (i > 0))) for i in range(8)], "doc_id long, text string")
     assert all(x["n_links"] == 7 for x in simhash.fingerprint_documents(docs).collect())
+
+
+def test_links_whichever_bits_differ(spark):
+    """Pairs at 18 and 19 bits: spread out, so that no three of eight blocks of 8 bits are equal in either half; all in one place; and as many
+    blocks of each part as can be changed while one part still has enough equal ones."""
+    r = random.Random(8)
+    for _, e, parts in simhash.SCHEMES:
+        assert sorted((h, s + i) for p in parts for h, s, w in p for i in range(w)) == [(h, i) for h in (0, 1) for i in range(64)]
+        flips = [[7 * i for i in range(18)], [8 * i for i in range(16)] + [1, 65], list(range(18)), list(range(50, 68)), list(range(110, 128))]
+        for spared in range(len(parts)):
+            changed = [b for i, p in enumerate(parts) for b in (p[e - 1 :] if i != spared else p[e:])]
+            flips.append([64 * (1 - h) + s for h, s, _ in changed])
+        base = [r.getrandbits(128) for _ in flips]
+        prints = [x for x, bits in zip(base, flips, strict=True) for x in (x, x ^ sum(1 << b for b in bits))]
+        assert all((p ^ q).bit_count() == 18 for p, q in zip(prints[::2], prints[1::2], strict=True))
+        far = [r.getrandbits(128)]
+        far.append(far[0] ^ sum(1 << b for b in range(0, 114, 6)))
+        rows = [tuple(v - 2**64 if v >= 2**63 else v for v in (p >> 64, p & (2**64 - 1))) for p in prints + far]
+        got = {(x["f1"], x["f2"]): x["n_links"] for x in simhash.near_links(spark.createDataFrame(rows, "f1 long, f2 long"), schemes=((None, e, parts),)).collect()}
+        assert got == dict.fromkeys(rows[:-2], 1)
