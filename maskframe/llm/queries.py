@@ -54,8 +54,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm import quality
 
-    docs, model = table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
-    return quality.score(docs, model, bands=quality.learn(docs, table(spark, sf_dir, "labels"), model))
+    return quality.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,44 @@ def test_quality_bands_are_learnt_from_clean_rows(spark):
     assert quality.learn(docs, labels(y).where("false"), MODEL) == quality.FIXED
 
 
+def plain_bands(rows, y):
+    """Bands of all clean rows at once, by numpy."""
+    import numpy as np
+
+    clean = [(t, lang) for i, t, lang in rows if y.get(i) == 1 and zlib.crc32(str(i).encode()) % 5]
+    of = {}
+    langs = {k for k in {lang for _, lang in clean} if k is not None and sum(lang == k for _, lang in clean) >= 100}
+    for (t, lang), r in zip(clean, quality.judge([t for t, _ in clean], [lang for _, lang in clean], MODEL), strict=True):
+        if not r[5] and (lang in langs or lang not in quality.BY_LANG):
+            of.setdefault(lang if lang in langs else quality.script_of(t), []).append(r[6:10])
+    out = {}
+    for key, m in of.items():
+        tokens, chars, fallback, entropy = np.array(m, float).T
+        x = np.log2(tokens)
+        curve = np.polyfit(x, entropy, 2)
+        curve[-1] += np.quantile(entropy - np.polyval(curve, x), 0.01)
+        out[key] = [*np.quantile(chars, [0.01, 0.995]), max(0.01, np.quantile(fallback, 0.995)), *curve, x.min(), x.max()]
+    return out
+
+
+def test_quality_bands_come_from_all_clean_rows(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choice(WORDS) + r.choice(["", "", "🜁", "ing"]) for _ in range(50 + i % 40)), ["en", "xx", None][i % 3]) for i in range(16_500)]
+    y = {i: int(i % 40 != 0) for i, _, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, quality int")
+    bands = quality.learn(docs, labels, MODEL)
+    for key, want in plain_bands(rows, y).items():
+        b = bands.lang.get(key) or bands.script[key]
+        assert all(abs(g - w) < 1e-8 for g, w in zip((b.chars_low, b.chars_high, b.fallback_high, *b.curve, *b.span), want, strict=True))
+    monkeypatch.setattr(quality, "FEW_IDS", 10)
+    assert quality.learn(docs, labels, MODEL) == bands
+    some = docs.where("doc_id % 5 = 0").unionByName(spark.createDataFrame([(None, None, None), (1, "", "en")], docs.schema))
+    both = docs.where("doc_id % 5 > 0").unionByName(some)
+    got = sorted((tuple(x) for x in quality.learn_and_score(both, labels, MODEL).collect()), key=str)
+    assert got == sorted((tuple(x) for x in quality.score(both, MODEL, bands=quality.learn(both, labels, MODEL)).collect()), key=str)
+
+
 def test_quality_limits_of_other_scripts():
     r = random.Random(5)
     private = " ".join("".join(chr(0xE000 + r.randrange(6000)) for _ in range(5)) for _ in range(80))
