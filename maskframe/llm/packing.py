@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskframe.llm.bpe import CACHE_PARTS, bpe
-from maskframe.llm.common import lean, materialize, slices
+from maskframe.llm.common import files_for, lean, materialize, slices
 
 ITERATIONS = 400
 PIECES_PER_SALT = 100_000
@@ -208,4 +208,5 @@ def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = 2, id_co
             placed = [pa.array(table["sequence"][at] + rank - table["rank"][at]), pa.array(table["offset"][at])]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in cols), *placed], names=[*cols, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{id_col} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # Rows are narrow: in as many parts as there are shuffle partitions a small result would be scattered over as many files.
+    return ranked.coalesce(files_for(int(hist.sum()))).mapInArrow(place, f"{id_col} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

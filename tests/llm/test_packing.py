@@ -65,3 +65,17 @@ def test_pack(spark, odd_docs, no_docs):
         assert all(zlib.crc32(whole[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in got)
     assert len(by[8]) == 2 and len(by[None]) >= 2
     assert packing.pack(no_docs, PATH).count() == 0
+
+
+def test_small_results_are_in_few_parts(spark):
+    """However many shuffle partitions there are: each part written is a file, for which the local file system starts a process."""
+    docs = spark.createDataFrame([(i, "some words " * (i % 50)) for i in range(300)], "doc_id long, text string")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 60)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        packed = packing.pack(docs, PATH)
+        assert packed.rdd.getNumPartitions() <= 8 and packed.count() == 300
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
